@@ -52,7 +52,7 @@ LINES_SQL = """select l_orderkey k, count(*) n_lines,
     max(case when l_linenumber=3 then l_quantity end) qty03, max(case when l_linenumber=4 then l_quantity end) qty04,
     max(case when l_linenumber=5 then l_quantity end) qty05, max(case when l_linenumber=6 then l_quantity end) qty06,
     max(case when l_linenumber=7 then l_quantity end) qty07,
-    round(sum(l_extendedprice*(1-l_discount)),2) revenue
+    round(sum(l_extendedprice*(1-l_discount)),4) revenue
   from {lineitem} group by l_orderkey"""
 
 REGISTRY_SQL = """select case when o_orderkey % 3 = 0 then 'B' else 'A' end as cohort, cast(o_orderkey as varchar(20)) as recordid,

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.frames import bounded
+from lacuna.functions.frames import bounded, pinned
 
 BUCKETS = 4096
 
@@ -127,3 +127,48 @@ def grouped_quantiles(
         .withColumn("quantile", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position)))
         .select(*keys, "prob", "quantile")
     )
+
+
+def cut_points(
+    frame: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str,
+    wanted: DataFrame,
+    *,
+    share: Column | None = None,
+    pin_rows: int,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """The row at a given place of a group's order: ``keys, tag, cut, cut_tie``.
+
+    ``wanted`` holds ``keys, tag, place`` (1-based). ``share`` maps the order value
+    monotonically into [0, 1]; by default the value itself lies there. A first pass
+    counts rows per bucket, a second orders only the buckets where a place falls.
+    Comparing rows with the cut selects exactly the first ``place`` rows.
+    """
+    spread = F.col(order) if share is None else share
+    bucket = F.least(F.floor(spread * buckets), F.lit(buckets - 1)).cast("int")
+    tagged = frame.withColumn("_bucket", bucket)
+    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    ends = (
+        placed.join(bounded(wanted.filter("place > 0"), pin_rows), list(keys))
+        .filter("_before < place and place <= _before + _in")
+        .select(*keys, "tag", "_bucket", (F.col("place") - F.col("_before")).alias("_rank"))
+    )
+    ends = pinned(ends, pin_rows)
+    inside = Window.partitionBy(*keys, "tag").orderBy(order, tie)
+    found = (
+        tagged.join(bounded(ends, pin_rows), [*keys, "_bucket"])
+        .withColumn("_n", F.row_number().over(inside))
+        .filter("_n = _rank")
+    )
+    return pinned(found.select(*keys, "tag", F.col(order).alias("cut"), F.col(tie).alias("cut_tie")), pin_rows)
+
+
+def up_to(order: str, tie: str, cut: str = "cut", cut_tie: str = "cut_tie") -> Column:
+    """Whether a row lies at or before the cut; false where there is no cut."""
+    same = (F.col(order) == F.col(cut)) & (F.col(tie) <= F.col(cut_tie))
+    return F.coalesce((F.col(order) < F.col(cut)) | same, F.lit(False))

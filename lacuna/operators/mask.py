@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.columns import clip, hash_normal_value, hash_uniform
 from lacuna.functions.frames import bounded, local_frame, pinned, to_cells, union_all
-from lacuna.functions.ordered import BUCKETS, grouped_quantiles, running_totals
+from lacuna.functions.ordered import cut_points, grouped_quantiles, running_totals, up_to
 from lacuna.operators.profile import column_profile, missing_share
 from lacuna.plans.schema import CATEGORICAL, HELD_OUT, OBSERVED, REGISTRY_MISSING, MaskSettings, Study
 
@@ -235,28 +235,17 @@ def with_clocks(cells: DataFrame, study: Study, eligible: Sequence[str]) -> Data
     return joined.withColumn("clock", F.when(open_cell, ring)).drop("seed", "weight")
 
 
-def cutoffs(clocks: DataFrame, budget: DataFrame, study: Study, buckets: int = BUCKETS) -> DataFrame:
-    """``cohort, feature, design, alpha, cut_clock, cut_id``: last cell each budget takes."""
-    group = ["cohort", "feature", "design"]
-    # exp(-clock) = u^(1/w) lies in (0, 1) and falls as the clock grows.
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("clock"))) * buckets), F.lit(buckets - 1)).cast("int")
-    tagged = clocks.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    ends = (
-        placed.join(bounded(budget.filter("budget > 0"), study.groups(alphas=True)), GROUP)
-        .filter("_before < budget and budget <= _before + _in")
-        .select(*group, "alpha", "_bucket", (F.col("budget") - F.col("_before")).alias("_rank"))
-    )
-    ends = pinned(ends, study.groups(designs=True, alphas=True))
-    inside = Window.partitionBy(*group, "alpha").orderBy("clock", study.id_column)
-    last = (
-        tagged.join(bounded(ends, study.groups(designs=True, alphas=True)), [*group, "_bucket"])
-        .withColumn("_n", F.row_number().over(inside))
-        .filter("_n = _rank")
+def cutoffs(clocks: DataFrame, budget: DataFrame, study: Study) -> DataFrame:
+    """``cohort, feature, design, alpha, cut, cut_tie``: last cell each budget takes."""
+    rows = study.groups(designs=True, alphas=True)
+    designs = local_frame(clocks.sparkSession, [(d,) for d in study.masks.designs], "design string")
+    wanted = budget.crossJoin(F.broadcast(designs)).select(
+        *GROUP, "design", F.col("alpha").alias("tag"), F.col("budget").alias("place")
     )
-    return last.select(*group, "alpha", F.col("clock").alias("cut_clock"), F.col(study.id_column).alias("cut_id"))
+    # 1 - exp(-clock) rises with the clock and lies in (0, 1).
+    share = F.lit(1.0) - F.exp(-F.col("clock"))
+    cut = cut_points(clocks, [*GROUP, "design"], "clock", study.id_column, wanted, share=share, pin_rows=rows)
+    return cut.withColumnRenamed("tag", "alpha")
 
 
 # -- the masks --------------------------------------------------------------
@@ -279,15 +268,12 @@ def inject(frame: DataFrame, study: Study) -> DataFrame:
     rows = study.groups(designs=True, alphas=True)
 
     cells = with_clocks(weighted_cells(frame, study, features, drivers), study, eligible)
-    cut = pinned(cutoffs(cells.filter("clock is not null"), budget, study), rows)
+    cut = cutoffs(cells.filter("clock is not null"), budget, study)
     alphas = local_frame(spark, [(float(a),) for a in sorted(study.masks.alphas)], "alpha double")
     gridded = cells.crossJoin(F.broadcast(alphas)).join(bounded(cut, rows), ["cohort", "feature", "design", "alpha"], "left")
-    first = (F.col("clock") < F.col("cut_clock")) | (
-        (F.col("clock") == F.col("cut_clock")) & (F.col(study.id_column) <= F.col("cut_id"))
-    )
     status = (
         F.when(F.col("value").isNull(), REGISTRY_MISSING)
-        .when(F.coalesce(first, F.lit(False)), HELD_OUT)
+        .when(up_to("clock", study.id_column), HELD_OUT)
         .otherwise(OBSERVED)
     )
     return gridded.withColumn("status", status.cast("tinyint")).select(

@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lacuna.functions.columns import hash_number
 
 UNIT = ["cohort", "design", "alpha"]
 
 # Result records, as one JSON object per unit and method.
-FIDELITY_SCHEMA = T.StructType.fromDDL(
+FIDELITY_SCHEMA = (
     "cohort string, design string, alpha double, method string, n_ensemble int, "
     "metrics map<string, map<string, double>>"
 )

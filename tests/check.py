@@ -76,14 +76,14 @@ def main(argv):
     import __spark_entry__ as entry
 
     names = argv[1:]
-    spark, con = session(), database(sf)
+    spark = session()
     oracle = entry.oracle_sql()
     bad = []
     for name, fn in entry.queries().items():
         if names and not any(name.startswith(n) for n in names):
             continue
         try:
-            text, spent, ok = compare(spark, con, sf, name, fn, oracle.get(name))
+            text, spent, ok = compare(spark, database(sf), sf, name, fn, oracle.get(name))
         except Exception as exc:  # report and go on
             text, spent, ok = f"ERROR {str(exc)[:1500]}", 0.0, False
         if not ok:
