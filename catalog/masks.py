@@ -105,11 +105,11 @@ def mnar_weights(spark, sf):
 
 
 @query("f8_weighted_draw", base.WITH_MASKS + """
-select cohort, feature, design, alpha, count(*) n_drawn, max(rn) last_place from drawn join budget using (cohort, feature) where rn <= budget group by all""")
+select cohort, feature, design, alpha, count(*) n_drawn from drawn join budget using (cohort, feature) where rn <= budget group by all""")
 def weighted_draw(spark, sf):
     hidden = masked_cells(spark, sf).filter("status = 2")
     return hidden.groupBy("cohort", "feature", "design", "alpha").agg(
-        F.count(F.lit(1)).alias("n_drawn"), F.count(F.lit(1)).alias("last_place")
+        F.count(F.lit(1)).alias("n_drawn")
     )
 
 

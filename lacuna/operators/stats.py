@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.frames import pinned
 from lacuna.functions.ordered import grouped_quantiles, running_totals
 from lacuna.functions.tails import chi2_sf, signed_rank_p
 
+TEST_ROWS = 100_000  # families in one job
 LOWER, HIGHER = "lower_is_better", "higher_is_better"
 
 
@@ -29,7 +31,7 @@ def paired_blocks(
     absent = [c for c in (*keys, "arm", "value") if c not in scores.columns]
     if absent:
         raise KeyError(f"missing column(s) for pairing: {absent}")
-    means = scores.groupBy(*keys, "arm").agg(F.avg("value").alias("value"))
+    means = scores.groupBy(*keys, "arm").agg(F.avg(F.col("value").cast("double")).alias("value"))
     listed = means.filter(F.col("arm").isin(list(arms)) & F.col("value").isNotNull())
     counted = listed.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     complete = counted.filter(F.col("_k") == len(arms)).drop("_k")
@@ -249,6 +251,7 @@ def compare_arms(
     tests = omnibus(scores, family, blocks, arms, direction, alpha=alpha, holm_over=[] if correct_families else None)
     if expected_blocks is not None:
         require_blocks(tests, expected_blocks)
+    tests = pinned(tests, TEST_ROWS)
     survivors = tests.filter("reject").select(*family)
     complete = paired_blocks(scores, family, blocks, arms)
     if family:
