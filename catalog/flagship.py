@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,24 @@ def _categorical(name):
 
 for _name, _metric in (("h2_accuracy", "accuracy"), ("h3_macro_f1", "f1_macro"), ("h4_balanced_accuracy", "balanced_acc")):
     query(_name, WITH_SCORES + f"\nselect {ARM_SQL}, feature, round({_metric},6) as value from per_feature")(_categorical(_metric))
+
+
+def _sql_poisson():
+    below, term, parts = 0.0, math.exp(-0.25), []
+    for copies in range(8):
+        below += term
+        parts.append(f"cast(u >= cast({below!r} as double) as int)")
+        term *= 0.25 / (copies + 1)
+    return " + ".join(parts)
+
+
+@query("h8_bootstrap", WITH_SCORES + f""",
+boots as (select *, {_sql_poisson()} w from (select p.*, b, {base.sql_uniform("'20260507'", "cast(b as varchar)", "recordid")} u from pairs p, range(1, 101) r(b))),
+samples as (select cohort, design, alpha, method, feature, kind, b, sum(w * case when kind in ('continuous','count') then (truth - imputed) * (truth - imputed) else cast(truth = imputed as int) end) / sum(w) m
+  from boots where w > 0 group by all),
+vals as (select *, case when kind in ('continuous','count') then sqrt(m) else m end v from samples)
+select cohort, design, alpha, method, case when kind in ('continuous','count') then 'rmse' else 'accuracy' end metric, feature, round(quantile_cont(v,0.025),6) ci_low, round(quantile_cont(v,0.25),6) q1,
+  round(quantile_cont(v,0.5),6) median, round(quantile_cont(v,0.75),6) q3, round(quantile_cont(v,0.975),6) ci_high, count(*) n_resamples from vals group by all""")
+def bootstrap(spark, sf):
+    samples = fid.bootstrap(mean_mode_cells(spark, sf), "recordid")
+    return rounded(fid.bootstrap_intervals(samples), "ci_low", "q1", "median", "q3", "ci_high")

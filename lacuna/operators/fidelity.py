@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.columns import hash_uniform
 from lacuna.plans.schema import CATEGORICAL, HELD_OUT, NUMERIC
 
 ARM = ["cohort", "design", "alpha", "method"]
@@ -136,3 +138,45 @@ def summarise(values: DataFrame, by: Sequence[str] = ("cohort", "variable_type",
     ).select(
         *by, "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), "n_values"
     )
+
+
+# -- bootstrap --------------------------------------------------------------
+
+
+def bootstrap(
+    cells: DataFrame, id_column: str, by: Sequence[str] = ARM, *,
+    resamples: int = 100, fraction: float = 0.25, seed: int = 20260507,
+) -> DataFrame:
+    """RMSE and accuracy per resample of the records: ``by, feature, resample, metric, value``.
+
+    A record's weight in a resample is Poisson(fraction) from a hash of (seed, resample,
+    record), the distributed form of drawing with replacement; all cells of a record
+    share it. Each cell is expanded only into the resamples it falls into.
+    """
+    u = hash_uniform(F.lit(seed), F.col("_b"), F.col(id_column))
+    # Poisson by inversion; beyond seven copies the probability is below 1e-9.
+    below, term, weight = 0.0, math.exp(-fraction), F.lit(0)
+    for copies in range(8):
+        below += term
+        weight = weight + (u >= below).cast("int")
+        term *= fraction / (copies + 1)
+    pairs = held_out_pairs(cells).select(*by, id_column, "feature", "kind", "truth", "imputed")
+    drawn = pairs.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight).filter("_w > 0")
+    numeric = F.col("kind").isin(*NUMERIC)
+    error = F.col("truth") - F.col("imputed")
+    loss = F.when(numeric, error * error).otherwise((F.col("truth") == F.col("imputed")).cast("double"))
+    sums = drawn.groupBy(*by, "feature", "kind", F.col("_b").alias("resample")).agg(
+        (F.sum(loss * F.col("_w")) / F.sum("_w")).alias("_mean")
+    )
+    return sums.select(
+        *by, "feature", "resample", F.when(numeric, "rmse").otherwise("accuracy").alias("metric"),
+        F.when(numeric, F.sqrt("_mean")).otherwise(F.col("_mean")).alias("value"),
+    )
+
+
+def bootstrap_intervals(samples: DataFrame, by: Sequence[str] = ARM) -> DataFrame:
+    """95 % interval and quartiles over the resamples of each arm and feature."""
+    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)]))
+    names = ["ci_low", "q1", "median", "q3", "ci_high"]
+    out = samples.groupBy(*by, "metric", "feature").agg(q.alias("_q"), F.count("value").alias("n_resamples"))
+    return out.select(*by, "metric", "feature", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "n_resamples")

@@ -65,8 +65,9 @@ def _nearest_in_block(features: Sequence[str], unit: Sequence[str], id_column: s
 
     def run(receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         columns = [*unit, id_column, "feature", "donor", "distance", "donated"]
+        nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         if receivers.empty or donors.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return nothing
         donors = donors.sort_values(id_column, kind="stable")
         x = np.vstack(receivers["vec"].to_numpy()).astype(float)
         y = np.vstack(donors["vec"].to_numpy()).astype(float)
@@ -100,7 +101,7 @@ def _nearest_in_block(features: Sequence[str], unit: Sequence[str], id_column: s
             found["feature"] = name
             parts.append(found)
         if not parts:
-            return pd.DataFrame({c: [] for c in columns})
+            return nothing
         out = pd.concat(parts, ignore_index=True)
         out[id_column] = rid[out["r"].to_numpy()]
         for u in unit:
