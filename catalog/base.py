@@ -98,6 +98,13 @@ MAR_STUDY = STUDY.with_masks(designs=("mar",), driver_min_observed=0.95)
 _STORED: dict[tuple, str] = {}
 
 
+def _spread(frame: DataFrame) -> DataFrame:
+    """Give every core a part when the input sits in fewer files than cores; large
+    inputs come in many splits and are left as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Stage output, written once per session to the shared folder and read back.
 
@@ -107,7 +114,7 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         path = f"{scratch(spark)}/{name}"
-        build().write.parquet(path)
+        _spread(build()).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

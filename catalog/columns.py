@@ -41,7 +41,7 @@ def missingness(spark, sf):
 
 SELECTION = MISS + """,
 ranked as (select feature, miss_max, row_number() over (order by miss_max, feature) position from miss_table where feature <> 'nom_region')
-select feature, round(miss_max,6) miss_max, position, {keep} selected, not ({keep}) and position - (select count(*) from ranked where {keep}) <= 5 next_excluded from ranked"""
+select feature, round(miss_max,6) miss_max, cast(position as int) position, {keep} selected, not ({keep}) and position - (select count(*) from ranked where {keep}) <= 5 next_excluded from ranked"""
 
 
 @query("d2_select_by_cutoff", SELECTION.format(keep="miss_max <= 0.5"))
@@ -105,8 +105,8 @@ PLACE = " ".join(f"when '{x}' then {i}" for i, x in enumerate(base.PRIORITIES, 1
 seen as (select distinct feature, label from text_cells where label is not null and feature in {tuple(LABELLED)}),
 sized as (select *, count(*) over (partition by feature) k from seen)
 select feature, case when feature = 'ord_priority' then 'ordinal' when k = 2 then 'binary' else 'nominal' end kind, label as level,
-  row_number() over (partition by feature order by case when feature = 'ord_priority' then case label {PLACE} end
-    when k = 2 then cast(label = 'Yes' as int) else 0 end, label) - 1 code from sized""")
+  cast(row_number() over (partition by feature order by case when feature = 'ord_priority' then case label {PLACE} end
+    when k = 2 then cast(label = 'Yes' as int) else 0 end, label) - 1 as int) code from sized""")
 def codebook(spark, sf):
     return p.codebook_frame(typed_registry(spark, sf), [c for c in FIELDS if not c.startswith("qty")], DECLARED)
 
@@ -261,7 +261,7 @@ def to_uniform(spark, sf):
 @query("e8_from_uniform", WITH_UNIFORM + """
 select cohort, recordid, feature, round(q[cast(floor(u * (k - 1)) as int) + 1] + (q[least(cast(floor(u * (k - 1)) as int) + 2, k)] - q[cast(floor(u * (k - 1)) as int) + 1]) * (u * (k - 1) - floor(u * (k - 1))), 3) as value from uniform""")
 def from_uniform(spark, sf):
-    back = e.apply_quantiles(_uniform(spark, sf), fitted_quantiles(spark, sf), ["cohort"], inverse=True, rows=GROUPS)
+    back = e.invert_quantiles(_uniform(spark, sf), fitted_quantiles(spark, sf), ["cohort"], rows=GROUPS)
     return rounded(back.drop("kind"), "value", digits=3)
 
 
@@ -307,7 +307,7 @@ def snap_binary(spark, sf):
 
 @query("e13_snap_levels", WITH_ENCODED + """
 select cohort, recordid, case when cont_bal is null then null else least(greatest(ceil(cont_bal / 2000.0 - 0.5), 0.0), 4.0) end code,
-  case when cont_bal is null then null when abs(cont_bal - 0) <= abs(cont_bal - 1000) then 0.0 when abs(cont_bal - 1000) <= abs(cont_bal - 5000) then 1000.0 else 5000.0 end as level from encoded""")
+  case when cont_bal is null then null else cast(case when abs(cont_bal - 0) <= abs(cont_bal - 1000) then 0.0 when abs(cont_bal - 1000) <= abs(cont_bal - 5000) then 1000.0 else 5000.0 end as double) end as level from encoded""")
 def snap_levels(spark, sf):
     from lacuna.functions.columns import nearest_level
 
@@ -323,7 +323,7 @@ def back_from_model_space(spark, sf):
     restored = e.from_model_space(encoded_units, KEYS, CODEBOOK)
     # The record's numbers return through the knots; exact where values are knots or between them.
     cells = to_cells(restored, KEYS, {"cont_bal": "continuous"})
-    numbers = e.apply_quantiles(cells, fitted_quantiles(spark, sf), ["cohort"], inverse=True, rows=GROUPS)
+    numbers = e.invert_quantiles(cells, fitted_quantiles(spark, sf), ["cohort"], rows=GROUPS)
     return restored.drop("cont_bal").join(
         numbers.select(*KEYS, F.round("value", 2).alias("cont_bal")), KEYS
     ).select(*KEYS, "cont_bal", "nom_segment", "ord_priority", "bin_lowbal", "nom_region")

@@ -281,8 +281,8 @@ def records(spark, sf):
 
 
 @query("j1_flatten_runs", WITH_RECORDS + """
-select cohort, design, target, 'binary' target_type, intensity, method, method method_key, split_seed, row_number() over (
-  partition by cohort, design, target, intensity, method order by split_seed) split_repeat, 'ok' status, balanced_accuracy from records where target in ('region0','region1')""")
+select cohort, design, target, 'binary' target_type, intensity, method, method method_key, split_seed, cast(row_number() over (
+  partition by cohort, design, target, intensity, method order by split_seed) as int) split_repeat, 'ok' status, balanced_accuracy from records where target in ('region0','region1')""")
 def flatten_runs(spark, sf):
     from lacuna.sources import files
 

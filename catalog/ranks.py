@@ -14,7 +14,7 @@ ARMS = [f"m{i}" for i in range(1, 8)]
 FAMILY = ["cohort", "target_type"]
 BLOCKS = ["design", "split_seed"]
 SCORES_SQL = """select l_returnflag cohort, case when l_linestatus = 'O' then 'binary' else 'continuous' end target_type,
-  year(l_shipdate) design, cast(l_suppkey % 4 as int) split_seed, 'm' || cast(l_linenumber as varchar(3)) arm,
+  cast(year(l_shipdate) as int) design, cast(l_suppkey % 4 as int) split_seed, 'm' || cast(l_linenumber as varchar(3)) arm,
   floor(avg(l_quantity) * 4) / 4.0 as value
 from {lineitem} where not (l_linenumber = 3 and l_suppkey % 4 = 1 and year(l_shipdate) = 1997) group by 1,2,3,4,5"""
 
@@ -173,7 +173,7 @@ def per_target(spark, sf):
 
 
 @query("j12_positions", WITH_BLOCKS + """
-select cohort, target_type, arm, round(mean_rank,6) mean_rank, pos position, p_holm < 0.05 and pos <= 3 top from (
+select cohort, target_type, arm, round(mean_rank,6) mean_rank, cast(pos as int) position, p_holm < 0.05 and pos <= 3 top from (
   select *, rank() over (partition by cohort, target_type order by mean_rank) pos from per_arm) join hv using (cohort, target_type)""")
 def positions(spark, sf):
     found = tests(spark, sf, holm_over=[]).filter("status = 'ok'")

@@ -129,7 +129,7 @@ def write_csv(spark, sf):
 
 # Nested result records derived from line items: one per (flag, status, quantity band, method).
 RECORD_UNITS = """select l_returnflag cohort, case when l_linestatus = 'O' then 'mcar' else 'mnar' end design,
-  case when l_quantity > 25 then 0.2 else 0.05 end alpha, case when l_tax > 0.04 then 'mean' else 'knn' end as method,
+  cast(case when l_quantity > 25 then 0.2 else 0.05 end as double) alpha, case when l_tax > 0.04 then 'mean' else 'knn' end as method,
   case when l_discount > 0.05 then 'rmse' else 'balanced_acc' end metric, 'f' || cast(l_linenumber as varchar(5)) feature,
   round(avg(l_extendedprice), 4) as value from {lineitem} group by 1,2,3,4,5,6"""
 
@@ -152,7 +152,7 @@ RUNS_SQL = """select l_returnflag cohort, case when l_linestatus = 'O' then 'mca
 
 
 @query("a6_read_nested_runs", f"""select cohort, design, cast(alpha as double) alpha, method, target, seed,
-  row_number() over (partition by cohort, design, method order by seed) split_repeat, roc_auc from ({RUNS_SQL.format(lineitem="lineitem")})""")
+  cast(row_number() over (partition by cohort, design, method order by seed) as int) split_repeat, roc_auc from ({RUNS_SQL.format(lineitem="lineitem")})""")
 def read_nested_runs(spark, sf):
     flat = spark.sql(RUNS_SQL, lineitem=table(spark, sf, "lineitem"))
     unit = ["cohort", "design", "alpha", "method", "target"]
@@ -215,7 +215,7 @@ def work_list(spark, sf):
 
 
 @query("a12_fingerprint", WITH_REGISTRY + """
-select cohort, count(*) n_rows, sum(cast(nom_segment is null as int) + cast(bin_lowbal is null as int)) n_null,
+select cohort, count(*) n_rows, cast(sum(cast(nom_segment is null as int) + cast(bin_lowbal is null as int)) as bigint) n_null,
   cast(sum(('0x' || substr(md5(recordid || '|' || coalesce(nom_segment,'~') || '|' || coalesce(bin_lowbal,'~')),1,12))::BIGINT) as double) hash_sum
 from registry group by 1""")
 def fingerprint(spark, sf):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.frames import bounded, pinned
 
 BUCKETS = 4096
+FEW_PROBS = 32
 
 
 def _scale(value: Column) -> Column:
@@ -44,6 +45,29 @@ def _bucket_offsets(tagged: DataFrame, keys: Sequence[str], sums: Sequence[str])
     return totals
 
 
+def _with_wanted(offsets: DataFrame, keys: Sequence[str], wanted: Column) -> DataFrame:
+    """Attach to each bucket the fractions whose ranks fall into it (``_want``).
+
+    Ranks and bucket starts are laid on one line per group; a rank belongs to the
+    last start at or before it. The line holds buckets plus fractions, not rows.
+    """
+    tops = offsets.groupBy(*keys).agg((F.max("_all__n") - 1).alias("_top"))
+    sides = F.explode(F.flatten(F.transform(wanted, lambda p: F.array(
+        F.struct(p.alias("p"), F.floor(p * F.col("_top")).alias("at")),
+        F.struct(p.alias("p"), F.ceil(p * F.col("_top")).alias("at")),
+    ))))
+    ranks = tops.select(*keys, sides.alias("r")).select(
+        *keys, F.col("r.at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_bucket"), F.col("r.p").alias("_p")
+    )
+    starts = offsets.select(
+        *keys, F.col("_off__n").cast("long").alias("_at"), F.lit(0).alias("_kind"), "_bucket", F.lit(None).cast("double").alias("_p")
+    )
+    line = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.unionByName(ranks).withColumn("_bucket", F.last("_bucket", ignorenulls=True).over(line))
+    want = placed.filter("_kind = 1").groupBy(*keys, "_bucket").agg(F.collect_set("_p").alias("_want"))
+    return offsets.join(want, [*keys, "_bucket"])
+
+
 def running_totals(
     dist: DataFrame,
     keys: Sequence[str],
@@ -67,6 +91,27 @@ def running_totals(
     return out.drop("_bucket")
 
 
+def sites_around(
+    wanted: DataFrame, sites: DataFrame, keys: Sequence[str], k: int, *, max_groups: int | None = None
+) -> DataFrame:
+    """For each distinct ``_v`` of ``wanted`` the k sites below it and the k at or above it:
+    ``keys, _v, _site``. ``sites`` holds distinct ``keys, _v``.
+
+    Both are placed on one line by running totals and met by place, so neither a
+    product of the two nor one ordered task per group is needed.
+    """
+    points = (
+        wanted.select(*keys, "_v", F.lit(0).alias("_is_site"), F.lit(1).alias("_is_open"))
+        .unionByName(sites.select(*keys, "_v", F.lit(1).alias("_is_site"), F.lit(0).alias("_is_open")))
+        .groupBy(*keys, "_v").agg(F.max("_is_site").alias("_is_site"), F.max("_is_open").alias("_is_open"))
+    )
+    placed = running_totals(points, keys, "_v", ["_is_site"], max_groups=max_groups)
+    numbered = placed.filter("_is_site = 1").select(*keys, F.col("before__is_site").alias("_at"), F.col("_v").alias("_site"))
+    place = F.col("before__is_site")
+    around = placed.filter("_is_open = 1").select(*keys, "_v", F.explode(F.sequence(place - k, place + k - 1)).alias("_at"))
+    return around.join(numbered, [*keys, "_at"]).drop("_at")
+
+
 def grouped_quantiles(
     frame: DataFrame,
     keys: Sequence[str],
@@ -105,9 +150,12 @@ def grouped_quantiles(
     def hits(p: Column, top: Column, start: Column, count: Column) -> Column:
         return within(rank_low(p, top), start, count) | within(rank_high(p, top), start, count)
 
-    offsets = offsets.withColumn(
-        "_want", F.filter(wanted, lambda p: hits(p, last, F.col("_off__n"), F.col("_in__n")))
-    ).filter(F.size("_want") > 0)
+    if isinstance(probs, Column) or len(probs) > FEW_PROBS:
+        offsets = _with_wanted(offsets, keys, wanted)
+    else:
+        offsets = offsets.withColumn(
+            "_want", F.filter(wanted, lambda p: hits(p, last, F.col("_off__n"), F.col("_in__n")))
+        ).filter(F.size("_want") > 0)
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = tagged.join(offsets, [*keys, "_bucket"]).withColumn(

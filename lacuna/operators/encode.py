@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import clip
-from lacuna.functions.frames import bounded
+from lacuna.functions.frames import bounded, pinned
 from lacuna.functions.ordered import grouped_quantiles
 from lacuna.plans.schema import NUMERIC, Codebook
 
@@ -153,37 +155,18 @@ def fit_quantiles(
     )
 
 
-def _knots_below(knots: Column, x: Column, inclusive: bool) -> Column:
-    """How many knots are < x (or <= x), by bisection over the sorted array."""
-    steps = F.array(*[F.lit(2**p) for p in range(10, -1, -1)])
-
-    def climb(position: Column, step: Column) -> Column:
-        knot = F.get(knots, position + step - 1)
-        ahead = (knot <= x) if inclusive else (knot < x)
-        return F.when(ahead, position + step).otherwise(position)
-
-    return F.aggregate(steps, F.lit(0), climb)
-
-
-def to_uniform(x: Column, knots: Column) -> Column:
+def _to_uniform(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
     """Piecewise-linear CDF; a value on a plateau of equal knots gets its middle."""
-    size = F.size(knots)
-    below, upto = _knots_below(knots, x, False), _knots_below(knots, x, True)
-    top = (size - 1).cast("double")
-    on_knot = (below + upto - 1).cast("double") / 2.0 / top
-    left, right = F.get(knots, below - 1), F.get(knots, below)
-    between = ((below - 1).cast("double") + (x - left) / (right - left)) / top
-    return (
-        F.when(x.isNull() | F.isnull(knots), None)
-        .when(x <= F.get(knots, F.lit(0)), 0.0)
-        .when(x >= F.get(knots, size - 1), 1.0)
-        .when(upto > below, on_knot)
-        .otherwise(between)
-    )
+    grid = np.linspace(0.0, 1.0, len(knots))
+    rising = np.interp(x, knots, grid)
+    falling = np.interp(-x, -knots[::-1], -grid[::-1])
+    out = 0.5 * (rising - falling)
+    out = np.where(x <= knots[0], 0.0, np.where(x >= knots[-1], 1.0, out))
+    return np.where(np.isnan(x), np.nan, out)
 
 
 def from_uniform(p: Column, knots: Column) -> Column:
-    """Inverse of :func:`to_uniform`; input clipped to [0, 1]."""
+    """Inverse of the quantile transform; input clipped to [0, 1]."""
     position = clip(p, 0, 1) * (F.size(knots) - 1)
     low = F.floor(position).cast("int")
     left = F.get(knots, low)
@@ -192,13 +175,39 @@ def from_uniform(p: Column, knots: Column) -> Column:
 
 
 def apply_quantiles(
-    cells: DataFrame, fitted: DataFrame, unit: Sequence[str], value: str = "value", *,
-    inverse: bool = False, rows: int | None = None,
+    cells: DataFrame, fitted: DataFrame, unit: Sequence[str], value: str = "value", *, rows: int
+) -> DataFrame:
+    """Numeric cells to [0, 1]; the others pass.
+
+    ``rows`` bounds the fitted table (units x columns, a knot array each). It travels
+    with the function, so the cells go through in Arrow batches without a join.
+    """
+    table = {
+        tuple(r[k] for k in (*unit, "feature")): np.asarray(r["knots"], dtype=float)
+        for r in pinned(fitted.select(*unit, "feature", "knots"), rows).collect()
+    }
+    keys = [*unit, "feature"]
+
+    @F.pandas_udf("double")
+    def uniform(x: pd.Series, which: pd.DataFrame) -> pd.Series:
+        out = pd.Series(np.nan, index=x.index)
+        for key, part in x.groupby([which[k] for k in which.columns], sort=False):
+            knots = table.get(key if isinstance(key, tuple) else (key,))
+            if knots is not None:
+                out.loc[part.index] = _to_uniform(part.to_numpy(dtype=float), knots)
+        return out
+
+    moved = F.nanvl(uniform(F.col(value), F.struct(*keys)), F.lit(None).cast("double"))
+    return cells.withColumn(value, F.when(F.col("kind").isin(list(NUMERIC)), moved).otherwise(F.col(value)))
+
+
+def invert_quantiles(
+    cells: DataFrame, fitted: DataFrame, unit: Sequence[str], value: str = "value", *, rows: int | None = None
 ) -> DataFrame:
+    """Numeric cells back from [0, 1] through the knots."""
     joined = cells.join(bounded(fitted, rows), [*unit, "feature"], "left")
-    move = from_uniform if inverse else to_uniform
-    moved = F.when(F.col("kind").isin(list(NUMERIC)), move(F.col(value), F.col("knots"))).otherwise(F.col(value))
-    return joined.withColumn(value, moved).drop("knots")
+    moved = from_uniform(F.col(value), F.col("knots"))
+    return joined.withColumn(value, F.when(F.col("kind").isin(list(NUMERIC)), moved).otherwise(F.col(value))).drop("knots")
 
 
 # -- whole units ------------------------------------------------------------

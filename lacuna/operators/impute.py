@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.frames import bounded, pinned, union_all
-from lacuna.functions.ordered import grouped_quantiles
+from lacuna.functions.ordered import grouped_quantiles, sites_around
 from lacuna.operators.encode import snap_binary, snap_code
 from lacuna.plans.schema import CATEGORICAL, NUMERIC, Codebook
 
@@ -104,19 +104,10 @@ def snap_cells(cells: DataFrame, codebook: Codebook, *, rows: int, value: str =
     keys = [*unit, "feature"]
     is_open = F.coalesce((F.col("kind") == "count") & F.col("masked").isNull() & F.col(value).isNotNull(), F.lit(False))
     open_counts = out.filter(is_open)
-    # Distinct raw values meet distinct observed values by order, not pairwise:
-    # each raw value looks at its two neighbours.
-    wanted = open_counts.select(*keys, F.col(value).alias("_v")).distinct().withColumn("_seen", F.lit(None).cast("double"))
+    wanted = open_counts.select(*keys, F.col(value).alias("_v")).distinct()
     seen = cells.filter("kind = 'count' and masked is not null").select(*keys, F.col("masked").alias("_v")).distinct()
-    both = wanted.unionByName(seen.withColumn("_seen", F.col("_v")))
-    order = Window.partitionBy(*keys).orderBy("_v", F.col("_seen").isNull())
-    below = F.last("_seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_seen", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = (
-        F.when(below.isNull(), above).when(above.isNull(), below)
-        .when(F.abs(F.col("_v") - below) <= F.abs(above - F.col("_v")), below).otherwise(above)
-    )
-    nearest = both.withColumn("_near", near).filter("_seen is null").select(*keys, F.col("_v").alias(value), "_near")
+    near = F.min(F.struct(F.abs(F.col("_v") - F.col("_site")), F.col("_site")))["_site"]
+    nearest = sites_around(wanted, seen, keys, 1, max_groups=rows).groupBy(*keys, F.col("_v").alias(value)).agg(near.alias("_near"))
     snapped = open_counts.join(nearest, [*keys, value], "left").withColumn(value, F.coalesce("_near", value))
     return out.filter(~is_open).unionByName(snapped.select(*out.columns))
 

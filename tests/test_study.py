@@ -232,3 +232,17 @@ def test_canonical_space_inverts(spark, sf):
     cells = canonical_cells(spark, sf).filter("kind = 'continuous' and status = 0")
     stats = cells.groupBy("cohort", "design", "alpha", "feature").agg(F.avg("masked").alias("m"), F.stddev_pop("masked").alias("s")).collect()
     assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in stats)
+
+
+def test_a_study_runs_and_resumes(spark, sf, tmp_path):
+    from lacuna.plans.fidelity_run import run_fidelity
+
+    study = STUDY.with_masks(designs=("mcar",), alphas=(0.2,))
+    frame = base.encoded(spark, sf)
+    first = run_fidelity(frame, study, ["mean"], str(tmp_path / "study"))
+    mean = {tuple(r) for r in first.collect()}
+    both = run_fidelity(frame, study, ["mean", "knn"], str(tmp_path / "study"))
+    assert {r["method"] for r in both.select("method").distinct().collect()} == {"mean", "knn"}
+    assert {tuple(r) for r in both.filter("method = 'mean'").collect()} == mean
+    rmse = both.filter("metric = 'rmse' and feature = 'cont_price' and method = 'mean'").agg(F.avg("value")).first()[0]
+    assert 0.8 < rmse < 1.2
