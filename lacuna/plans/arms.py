@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.frames import pinned, to_cells, union_all
+from lacuna.functions.frames import cut_lineage, pinned, to_cells, union_all
 from lacuna.operators import chained, impute, knn
 from lacuna.plans.schema import Study
 
@@ -90,6 +90,7 @@ def impute_arm(
         return arm(wide, unit, study, 0, params)
     members = k if k is not None and method not in impute.DETERMINISTIC else impute.ensemble_size(method)
     keys = [*unit, study.id_column, "feature", "kind", "masked"]
-    out = impute.ensemble(lambda seed: arm(wide, unit, study, seed, params), members, keys)
+    # Snapping and scoring read the filled cells several times; the arm runs once.
+    out = cut_lineage(impute.ensemble(lambda seed: arm(wide, unit, study, seed, params), members, keys))
     rows = MAX_UNITS * len(study.codebook.variables)
     return impute.snap_cells(out, study.codebook, rows=rows, unit=unit)

@@ -59,7 +59,10 @@ def run_fidelity(
     done = _existing(frame, scores)
     open_arms = pending(grid, done.select(*UNIT, "method").distinct(), [*UNIT, "method"]) if done is not None else grid
     for method in [r["method"] for r in open_arms.select("method").distinct().orderBy("method").collect()]:
-        filled = impute_arm(wide, UNIT, study, method, k=k, overrides=overrides)
+        path = f"{folder}/imputed/method={method}"
+        filled = _stage(
+            frame, path, lambda m=method: impute_arm(wide, UNIT, study, m, k=k, overrides=overrides), UNIT
+        )
         hidden = filled.join(truth, [*keys, "feature"]).withColumn("method", F.lit(method))
         write_units(fid.fidelity(hidden), scores, ["method", *UNIT])
     values = spark.read.parquet(scores).select(*UNIT, "method", "metric", "feature", "value")
