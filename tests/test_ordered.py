@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.functions.ordered import cut_points, grouped_quantiles, running_totals, up_to
+from lacuna.functions.ordered import cut_points, grouped_quantiles, running_totals, sites_around, up_to
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,20 @@ def test_cut_points_select_exactly_the_first_rows(spark, skewed, buckets):
     cuts = cut_points(unit, ["g"], "u", "i", wanted, pin_rows=10, buckets=buckets)
     got = unit.join(cuts, "g").filter(up_to("u", "i")).groupBy("g", "tag").count().collect()
     assert {(r["g"], r["tag"]): r["count"] for r in got} == {("hot", "few"): 5, ("hot", "many"): 1234, ("cold", "few"): 1}
+
+
+def test_many_quantiles_use_the_rank_line_and_stay_exact(skewed):
+    probs = [i / 200 for i in range(201)]
+    got = {(r["g"], r["prob"]): r["quantile"] for r in grouped_quantiles(skewed, ["g"], "v", probs, buckets=64).collect()}
+    for g, part in skewed.toPandas().groupby("g"):
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(np.quantile(part["v"], p), rel=1e-12)
+
+
+def test_sites_around_finds_the_neighbours(spark):
+    sites = spark.createDataFrame([("a", float(v)) for v in (1, 3, 8)], "g string, _v double")
+    wanted = spark.createDataFrame([("a", v) for v in (0.0, 3.0, 4.0, 9.0)], "g string, _v double")
+    got = {}
+    for r in sites_around(wanted, sites, ["g"], 1).collect():
+        got.setdefault(r["_v"], set()).add(r["_site"])
+    assert got == {0.0: {1.0}, 3.0: {1.0, 3.0}, 4.0: {3.0, 8.0}, 9.0: {8.0}}
