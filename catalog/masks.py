@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.base import ALPHAS_SQL, CODEBOOK, COHORTS, KEYS, MAR_STUDY, STUDY, encoded, query, sql_uniform, stored, table
+from catalog.base import CODEBOOK, COHORTS, KEYS, MAR_STUDY, STUDY, encoded, query, sql_uniform, stored, table
 from catalog.flagship import masked_cells, rounded
 from lacuna.functions.columns import hash_uniform
-from lacuna.functions.frames import to_cells
+from lacuna.functions.frames import local_frame, to_cells
 from lacuna.operators import mask
 from lacuna.operators.profile import column_profile
 
@@ -50,12 +52,8 @@ DRIVER_SHARE = 0.94
 @query("f4_driver_list", base.WITH_CELLS + f"""
 select feature from (select cohort, feature, count(value) / cast(count(*) as double) s from cells group by 1,2) group by 1 having min(s) >= {DRIVER_SHARE}""")
 def driver_list(spark, sf):
-    from dataclasses import replace
-
     profile = column_profile(encoded(spark, sf), CODEBOOK.names)
     settings = replace(MAR_STUDY.masks, driver_min_observed=DRIVER_SHARE)
-    from lacuna.functions.frames import local_frame
-
     return local_frame(spark, [(d,) for d in mask.mar_drivers(profile, settings, CODEBOOK.names)], "feature string")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import CODEBOOK, KEYS, STUDY, WITH_CELLS, WITH_ENCODED, WITH_REGISTRY, encoded, query, registry, sql_uniform, stored
+from catalog.base import CODEBOOK, KEYS, WITH_ENCODED, WITH_REGISTRY, encoded, query, registry, sql_uniform, stored
 from catalog.flagship import rounded
 from lacuna.functions.columns import hash_uniform
 from lacuna.functions.frames import local_frame

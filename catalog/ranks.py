@@ -8,7 +8,7 @@ from catalog.arms import arm_cells
 from catalog.base import query, stored, table
 from catalog.flagship import rounded
 from lacuna.operators import fidelity as fid
-from lacuna.operators import stats
+from lacuna.operators import report, stats
 
 ARMS = [f"m{i}" for i in range(1, 8)]
 FAMILY = ["cohort", "target_type"]
@@ -183,8 +183,6 @@ def positions(spark, sf):
 @query("k14_mean_rank_table", WITH_BLOCKS + "\nselect cohort, target_type, round(any_value(chi2),6) chi2, " + ", ".join(
     f"round(max(case when arm = '{a}' then mean_rank end),6) {a}" for a in ARMS) + " from per_arm join tests using (cohort, target_type) group by 1,2")
 def mean_rank_table(spark, sf):
-    from lacuna.operators import report
-
     out = report.mean_rank_table(tests(spark, sf).filter("status = 'ok'"), FAMILY, ARMS)
     return rounded(out, "chi2", *ARMS)
 
@@ -194,8 +192,6 @@ select cohort, target_type, case when (target_type = 'binary') = (delta > 0) the
   case when (target_type = 'binary') = (delta > 0) then n_blocks_favouring_a else n_nonzero_differences - n_blocks_favouring_a end blocks_won, n_complete_blocks, delta median_diff_a_minus_b
 from base where delta <> 0""")
 def blocks_won(spark, sf):
-    from lacuna.operators import report
-
     complete = stats.paired_blocks(scores(spark, sf), FAMILY, BLOCKS, ARMS)
     pairs = stats.pairwise_wilcoxon(complete, FAMILY, BLOCKS, direction())
     # Every decided pair is listed here; the study keeps those that survive Holm.
