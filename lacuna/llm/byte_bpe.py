@@ -22,7 +22,6 @@ import base64
 import codecs
 import hashlib
 import os
-from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -33,20 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 
-from lacuna.llm.text import SPACE, blocks, ragged, raw, spans
-
-CACHED_PARTS = 500_000
+from lacuna.llm.text import KIND, PartCoder, blocks, raw
 
 # Parts that are a single match of the pattern, whatever the Unicode version.
 ONE_MATCH = r"^ ?([A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+)$"
 
-# Classes of bytes: white space, letters, digits, other ASCII; 0 beyond ASCII.
-_KIND = np.zeros(256, dtype=np.uint8)
-_KIND[33:127] = 4
-_KIND[[*range(65, 91), *range(97, 123)]] = 2
-_KIND[48:58] = 3
-_KIND[SPACE] = 1
-
 
 def byte_table() -> list[str]:
     """One printable character for each byte: Latin-1's own where it has one, else from U+0100 on."""
@@ -91,42 +81,18 @@ class ByteBpe:
         self.length_of = np.zeros(max(self.bytes_of, default=-1) + 1, dtype=np.int64)
         for i, token in self.bytes_of.items():
             self.length_of[i] = len(token)
-        self._parts: dict[str, bytes] = {}
-
-    def parts(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each distinct part, one after another, and their offsets."""
-        single = pc.match_substring_regex(distinct, ONE_MATCH).to_pylist()
-        distinct = distinct.to_pylist()
-        if len(self._parts) + len(distinct) > CACHED_PARTS:
-            self._parts.clear()
-        known, tokenize, table = self._parts, self.tokenizer.model.tokenize, self.shown
-        found, rest = [known.get(part) for part in distinct], []
-        for k, ids in enumerate(found):
-            if ids is None:
-                part = distinct[k]
-                if single[k]:  # of the characters of a single match only the space is shown as another, in ASCII
-                    shown = part.replace(" ", table[32]) if part.isascii() else part.encode().decode("latin-1").translate(table)
-                    found[k] = known[part] = array("I", [token.id for token in tokenize(shown)]).tobytes()
-                else:
-                    rest.append(k)
-        coded = self.tokenizer.encode_batch_fast([distinct[k] for k in rest], add_special_tokens=False)
-        for k, one in zip(rest, coded):
-            found[k] = known[distinct[k]] = array("I", one.ids).tobytes()
-        offsets = np.zeros(len(found) + 1, dtype=np.int64)
-        np.cumsum([len(ids) >> 2 for ids in found], out=offsets[1:])
-        return np.frombuffer(b"".join(found), dtype=np.uint32), offsets
+        self.coder = PartCoder(self.tokenizer, ONE_MATCH, self.show)
+
+    def show(self, part: str) -> str:
+        """A single match as the model writes it; in ASCII only its space is shown as another character."""
+        if part.isascii():
+            return part.replace(" ", self.shown[32])
+        return part.encode().decode("latin-1").translate(self.shown)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the ``n + 1`` row offsets."""
         data, offsets = raw(texts)
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        bounds = cuts(data, offsets)
-        coded = spans(data, bounds)
-        flat, places = self.parts(coded.dictionary)
-        ids, ends = ragged(flat, places, coded.indices.to_numpy())
-        before = np.concatenate([[0], ends])
-        return ids, before[np.searchsorted(bounds, offsets)]
+        return self.coder.rows(data, cuts(data, offsets), offsets)
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """Bytes of the ids; an unknown id raises KeyError."""
@@ -145,7 +111,7 @@ class ByteBpe:
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places, row edges included, where a text may be cut without changing its ids."""
-    kind = _KIND[data]
+    kind = KIND[data]
     left, right = kind[:-1], kind[1:]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[1:-1] = (left != right) & (((right == 1) & (left != 1)) | (((left == 2) | (left == 3)) & (right != 0)))

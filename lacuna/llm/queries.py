@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from public_tokenizers import path
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import byte_bpe
+from lacuna.llm import bitplanes, byte_bpe, lang_id, storage
 from lacuna.llm.registry import query, table
 
 
@@ -13,3 +14,25 @@ from lacuna.llm.registry import query, table
 def op2(spark, sf_dir):
     """Ids and round trip of every whole text."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op4_bitplanes")
+def op4(spark, sf_dir):
+    """Token files of all texts, read back."""
+    folder = storage.folder(spark, "ids")
+    bitplanes.write_ids(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), 1, folder)
+    return bitplanes.read_ids(spark, folder)
+
+
+def fold(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query("op5_lang_id")
+def op5(spark, sf_dir):
+    """Language of every whole text, learned outside the held-out fold."""
+    documents, pieces = table(spark, sf_dir, "documents"), path("piece_bpe_32k.model")
+    model = lang_id.fit(documents.filter(fold(4) != 2), pieces)
+    found = lang_id.predict(documents, model, pieces)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

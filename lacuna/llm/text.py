@@ -6,10 +6,12 @@ holds a few megabytes of text at a time however long the documents are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 16 << 20
 
@@ -28,7 +30,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
     """Cut record batches so that each holds about ``size`` bytes of text, or one longer row."""
     for batch in batches:
         data = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(pa.compute.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < batch.num_rows:
             taken = ends[first - 1] if first else 0
@@ -101,3 +103,54 @@ def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     ends = np.cumsum(lengths)
     place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[pick] - (ends - lengths), lengths)
     return values[place], ends
+
+
+class PartCoder:
+    """Token ids of text parts, each distinct part coded once and kept while there is room.
+
+    ``tokenizer`` is a ``tokenizers`` object; parts that match ``single`` go to its model
+    alone, as ``show`` writes them.
+    """
+
+    def __init__(self, tokenizer, single: str, show: Callable[[str], str], room: int = 500_000):
+        self.tokenizer, self.single, self.show, self.room = tokenizer, single, show, room
+        self.known: dict[str, bytes] = {}
+
+    def parts(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each distinct part, one after another, and their offsets."""
+        single = pc.match_substring_regex(distinct, self.single).to_pylist()
+        distinct = distinct.to_pylist()
+        if len(self.known) + len(distinct) > self.room:
+            self.known.clear()
+        known, tokenize, show = self.known, self.tokenizer.model.tokenize, self.show
+        found, rest = [known.get(part) for part in distinct], []
+        for k, ids in enumerate(found):
+            if ids is None:
+                part = distinct[k]
+                if single[k]:
+                    found[k] = known[part] = array("I", [token.id for token in tokenize(show(part))]).tobytes()
+                else:
+                    rest.append(k)
+        coded = self.tokenizer.encode_batch_fast([distinct[k] for k in rest], add_special_tokens=False)
+        for k, one in zip(rest, coded):
+            found[k] = known[distinct[k]] = array("I", one.ids).tobytes()
+        offsets = np.zeros(len(found) + 1, dtype=np.int64)
+        np.cumsum([len(ids) >> 2 for ids in found], out=offsets[1:])
+        return np.frombuffer(b"".join(found), dtype=np.uint32), offsets
+
+    def rows(self, data: np.ndarray, bounds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts between ``bounds``, and the offsets in them of the rows at byte ``offsets``."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        coded = spans(data, bounds)
+        flat, places = self.parts(coded.dictionary)
+        ids, ends = ragged(flat, places, coded.indices.to_numpy())
+        return ids, np.concatenate([[0], ends])[np.searchsorted(bounds, offsets)]
+
+
+# Classes of bytes: white space, letters, digits, other ASCII; 0 beyond ASCII.
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[33:127] = 4
+KIND[[*range(65, 91), *range(97, 123)]] = 2
+KIND[48:58] = 3
+KIND[SPACE] = 1
