@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, lang_id, storage
+from lacuna.llm import bitplanes, byte_bpe, lang_id, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -36,3 +36,10 @@ def op5(spark, sf_dir):
     model = lang_id.fit(documents.filter(fold(4) != 2), pieces)
     found = lang_id.predict(documents, model, pieces)
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_sampled_splitters")
+def op10(spark, sf_dir):
+    """All documents in 24 shards of near-equal bytes."""
+    found = shards.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
