@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, lang_id, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, lang_id, quality, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -43,3 +43,13 @@ def op10(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
     found = shards.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_quadratic_discriminant")
+def op6(spark, sf_dir):
+    """Quality of every whole text, learned outside the held-out fold."""
+    stats = storage.written(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(stats.filter(fold(3) != 1), table(spark, sf_dir, "labels"))
+    found = quality.predict(stats, model)
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
