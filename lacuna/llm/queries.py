@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, lang_id, quality, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, lang_id, near_dup, quality, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -53,3 +53,9 @@ def op6(spark, sf_dir):
     found = quality.predict(stats, model)
     held_out = F.coalesce(fold(3) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_minhash_hamming")
+def op7(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
