@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, lang_id, near_dup, quality, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, lang_id, near_dup, quality, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -59,3 +59,9 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_spaced_seeds", decontaminate.SQL)
+def op9(spark, sf_dir):
+    """Documents that overlap with benchmark items."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
