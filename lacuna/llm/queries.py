@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, lang_id, near_dup, quality, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, lang_id, line_templates, near_dup, quality, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -65,3 +65,10 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     """Documents that overlap with benchmark items."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_line_templates", line_templates.SQL)
+def op8(spark, sf_dir):
+    """All documents without the lines of recurring templates."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.clean(documents).select("doc_id", "n_lines", "n_dropped", "text")
