@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, lang_id, line_templates, near_dup, quality, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, lang_id, line_templates, near_dup, quality, shards, storage
 from lacuna.llm.registry import query, table
 
 
@@ -72,3 +72,9 @@ def op8(spark, sf_dir):
     """All documents without the lines of recurring templates."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.clean(documents).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op3_hash_forest")
+def op3(spark, sf_dir):
+    """The 20 nearest others of every twentieth vector."""
+    return hash_forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
