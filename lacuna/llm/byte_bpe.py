@@ -27,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
@@ -191,11 +190,11 @@ def decode(encoded: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary, text string")
 
 
-def round_trip(documents: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row.
+def round_trip(documents: DataFrame, path: str, pattern: str = PATTERN, with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, same`` of every row, and ``ids`` if asked for.
 
-    Encodes and decodes in one pass over the text, so ids and bytes of no document
-    leave their task. ``same`` says whether decoding gave the text's own bytes.
+    Encodes and decodes in one pass over the text. ``same`` says whether decoding gave
+    the text's own bytes.
     """
 
     def run(batches):
@@ -212,9 +211,10 @@ def round_trip(documents: DataFrame, path: str, pattern: str = PATTERN) -> DataF
                 hashes.append(hashlib.sha256(one.tobytes()).hexdigest())
                 backs.append(hashlib.sha256(back).hexdigest())
                 same.append(back == data[bytes_at[k]:bytes_at[k + 1]].tobytes())
+            more = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pc.cast(pa.array(np.diff(rows)), pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string()), pa.array(same, pa.bool_())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
+                [block.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(hashes, pa.string()), pa.array(backs, pa.string()), pa.array(same, pa.bool_()), *more],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same", "ids"][:5 + len(more)])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)

@@ -76,12 +76,8 @@ def verified(frame: DataFrame) -> DataFrame:
     return frame.withColumn("best", best).filter(F.col("best") >= F.col("needed"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, contaminated, n_items, best`` for every row of ``documents`` (``doc_id, text``).
-
-    ``benchmark`` has ``item_id, text``. ``n_items``: items that contaminate the document;
-    ``best``: most agreeing tokens in a window (0 if clean).
-    """
+def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``id, key, n_items, best`` for the contaminated ``doc_id``s and hashes of their text."""
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).filter(F.size("item") >= LEAST_TOKENS).distinct()
     items = written(items, "items")
@@ -90,19 +86,40 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = seeded(items.select("item_id", "item", hashed(F.col("item")).alias("h")), masks)
     seeds = small(written(seeds.withColumnRenamed("place", "item_place"), "seeds"))
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    texts = keyed(documents).select("doc_id", "text", "text_key")
     found = seeded(texts.select("text_key", hashed(tokens(F.col("text"))).alias("h")), masks).join(seeds.select("seed", "item_id", "item_place", "item"), "seed")
     hits = found.select("text_key", "item_id", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits = small(written(hits, "hits"))
 
     pairs = texts.join(hits, "text_key").withColumn("words", tokens(F.col("text")))
     judged = verified(pairs).groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"))
-    judged = judged.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_items"), F.max("best").alias("best"))
-    judged = judged.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
-    rows = texts.select("doc_id", "text_key")
+    judged = judged.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).cast("long").alias("n_items"), F.max("best").cast("long").alias("best"))
+    return judged.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``text_key``, a hash of the text; an input column of that name is replaced."""
+    return documents.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, contaminated, n_items, best`` for every row of ``documents`` (``doc_id, text``).
+
+    ``benchmark`` has ``item_id, text``. ``n_items``: items that contaminate the document;
+    ``best``: most agreeing tokens in a window (0 if clean).
+    """
+    rows = keyed(documents).select("doc_id", "text_key")
+    judged = overlaps(documents, benchmark)
     out = rows.join(judged, rows["doc_id"].eqNullSafe(judged["id"]) & (rows["text_key"] == judged["key"]), "left")
-    return out.select(
-        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("best", F.lit(0)).cast("long").alias("best"))
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("best", zero).alias("best"))
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that no item contaminates, with all their columns."""
+    rows, judged = keyed(documents), small(written(overlaps(documents, benchmark), "overlaps"))
+    clean = rows.join(judged, rows["doc_id"].eqNullSafe(judged["id"]) & (rows["text_key"] == judged["key"]), "left_anti")
+    return clean.select(*documents.columns)
 
 
 #: The definition without seeds: every pair of equal tokens, counted along alignments.

@@ -281,6 +281,25 @@ def fit(labelled: DataFrame, path: str, sample_texts: int = SAMPLE_TEXTS, rounds
     return Model(languages, prior, shares)
 
 
+def identified(documents: DataFrame, model: Model, path: str) -> DataFrame:
+    """All columns of ``documents`` and ``lang_pred, score``, judged from the text alone.
+
+    Columns of those two names in the input are replaced.
+    """
+    broad = documents.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in documents.columns if c not in ("lang_pred", "score")]
+
+    def run(batches):
+        scorer = scorer_of(path, broad)
+        for block in blocks(batches):
+            names, score = scorer(block.column("text"))
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+
+    nested = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
+    out = nested.mapInArrow(run, nested.select("row").schema.add("lang_pred", "string").add("score", "double"))
+    return out.select(*[F.col(f"row.`{c}`") for c in others], "lang_pred", "score")
+
+
 def predict(documents: DataFrame, model: Model, path: str) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from the text alone."""
     broad = documents.sparkSession.sparkContext.broadcast(model)
@@ -294,6 +313,12 @@ def predict(documents: DataFrame, model: Model, path: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(documents: DataFrame, model: Model, path: str, least: float = 0.5) -> DataFrame:
+    """The rows whose language is known with a score of ``least`` or more."""
+    found = identified(documents, model, path).filter((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return found.select(*documents.columns)
+
+
 _SCORERS: dict[int, Scorer] = {}
 
 

@@ -211,3 +211,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     found = rows.select("doc_id", "n", "c0", "c1").join(of_class, ["c0", "c1"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are the first of their group, with all their columns."""
+    lost = written(near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("lost")).distinct(), "lost")
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
+    return documents.join(lost, documents["doc_id"] == lost["lost"], "left_anti")
