@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.storage import written
-from lacuna.llm.text import WordHasher, blocks, mix, raw, words
+from lacuna.llm.text import HASH_BLOCK, WordHasher, blocks, mix, raw, words
 
 DEPTH = 4
 MIN_TOKENS = 3
@@ -91,7 +91,7 @@ def parsed_lines(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             found = Lines(block.column("text"), hasher)
             kept = found.parsed()
             ids = block.column("id").to_numpy()[found.row[kept]]
@@ -105,7 +105,7 @@ def line_tokens(wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             found = Lines(block.column("text"), hasher)
             asked, counts = block.column("lines"), block.column("counts")
             picks, weights = [], []
@@ -178,7 +178,7 @@ def clean(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             texts, drop = block.column("text"), block.column("lines")
             found = Lines(texts, hasher)
             given, n_lines, n_dropped = texts.is_valid().to_pylist(), np.diff(found.first), np.zeros(block.num_rows, np.int64)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.graph import components
 from lacuna.llm.storage import written
-from lacuna.llm.text import LOWER, WordHasher, blocks, mix, raw, words
+from lacuna.llm.text import HASH_BLOCK, LOWER, WordHasher, blocks, mix, raw, words
 
 WORDS = 5
 SIMILARITY = 75  # per cent
@@ -95,7 +95,7 @@ def described(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             sets, offsets = shingle_sets(block.column("text"), hasher)
             n = np.diff(offsets)
             empty, full = n == 0, offsets[:-1][n > 0]
@@ -154,7 +154,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             sets, offsets = shingle_sets(block.column("text"), hasher)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists], ["id", "shingles"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.text import SPACE, WordHasher, blocks, raw, words
+from lacuna.llm.text import HASH_BLOCK, SPACE, WordHasher, blocks, raw, words
 
 FEATURES = (
     "length", "word_length", "line_words", "sentence_words", "distinct_words", "space", "lower", "upper", "digit", "beyond_ascii",
@@ -91,7 +91,7 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=HASH_BLOCK):
             x = statistics(block.column("text"), hasher)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), flat], ["doc_id", "x"])

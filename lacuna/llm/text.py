@@ -14,6 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 16 << 20
+#: Text of a block whose words are hashed, with several arrays of a number for each word.
+HASH_BLOCK = 4 << 20
+#: Bytes hashed at a time: hashing takes about 40 times as much memory.
+HASHED_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -84,11 +88,21 @@ class WordHasher:
         self.up = self.down = np.zeros(0, np.uint64)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(data) + 1:
-            self.up, self.down = _powers(_BASE, len(data) + 1), _powers(_BASE_INVERSE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts])
+        """Hashes of the spans, which are in order and do not overlap; works through the bytes in stretches."""
+        out = np.empty(len(starts), dtype=np.uint64)
+        first = 0
+        while first < len(starts):
+            low = starts[first]
+            last = max(first + 1, int(np.searchsorted(ends, low + HASHED_BYTES, side="right")))
+            high = ends[last - 1]
+            if len(self.up) < high - low + 1:
+                self.up, self.down = _powers(_BASE, int(high - low) + 1), _powers(_BASE_INVERSE, int(high - low) + 1)
+            sums = np.zeros(high - low + 1, dtype=np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * self.up[:high - low], out=sums[1:])
+            a, b = starts[first:last] - low, ends[first:last] - low
+            out[first:last] = mix((sums[b] - sums[a]) * self.down[a])
+            first = last
+        return out
 
 
 def spans(data: np.ndarray, bounds: np.ndarray) -> pa.DictionaryArray:
