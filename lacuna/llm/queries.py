@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, lang_id, line_templates, near_dup, quality, shards, storage
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, lang_id, line_templates, near_dup, quality, shards, storage, url_filter
 from lacuna.llm.registry import query, table
 
 
@@ -78,3 +78,60 @@ def op8(spark, sf_dir):
 def op3(spark, sf_dir):
     """The 20 nearest others of every twentieth vector."""
     return hash_forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+# Captures and list events are drawn from the hosts of ``pages`` by arithmetic that Spark and SQL share:
+# a page is fetched at a second of a year that its id fixes, a host is listed at days that its md5 fixes.
+FETCHED = "cast(timestamp'2024-01-01 00:00:00' as timestamp) + make_interval(0, 0, 0, 0, 0, 0, (page_id * 7919977) % 31536000)"
+EVENTS = """
+with h as (
+  select host, cast(conv(substr(md5(host), 1, 4), 16, 10) as int) as x from hosts),
+e as (
+  select case when x % 4 = 3 then 'known' else concat('bad', x % 3) end as list, case when x % 4 = 3 then 'allow' else 'block' end as verdict,
+    case x % 4 when 0 then 'host' when 1 then 'domain' when 2 then 'prefix' else 'host' end as kind,
+    case x % 4 when 1 then substr(host, instr(host, '.') + 1) when 2 then concat(host, '/en') else host end as pattern,
+    x % 300 as day, (x % 7 + 1) * 15 as length, x from h)
+select list, verdict, kind, pattern, 'add' as action, timestamp'2024-01-01' + make_interval(0, 0, 0, day) as at from e
+union all select list, verdict, kind, pattern, 'remove', timestamp'2024-01-01' + make_interval(0, 0, 0, day + length) from e where x % 3 <> 0
+union all select list, verdict, kind, pattern, 'add', timestamp'2024-01-01' + make_interval(0, 0, 0, day + length + 40) from e where x % 5 = 0
+"""
+URL_SQL = r"""
+with p as (
+  select page_id, url, timestamp '2024-01-01' + to_seconds((page_id * 7919977) % 31536000) as fetched,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts from pages),
+h as (select host, ('0x' || substr(md5(host), 1, 4))::int as x from (select distinct host from p where host <> '')),
+e as (
+  select case when x % 4 = 3 then 'known' else 'bad' || (x % 3) end as list, case when x % 4 = 3 then 'allow' else 'block' end as verdict,
+    case x % 4 when 0 then 'host' when 1 then 'domain' when 2 then 'prefix' else 'host' end as kind,
+    case x % 4 when 1 then substr(host, instr(host, '.') + 1) when 2 then host || '/en' else host end as pattern,
+    x % 300 as day, (x % 7 + 1) * 15 as length, x from h),
+events as (
+  select list, verdict, kind, pattern, 1 as active, timestamp '2024-01-01' + to_days(day) as moment from e
+  union all select list, verdict, kind, pattern, 0, timestamp '2024-01-01' + to_days(day + length) from e where x % 3 <> 0
+  union all select list, verdict, kind, pattern, 1, timestamp '2024-01-01' + to_days(day + length + 40) from e where x % 5 = 0),
+state as (select list, verdict, kind, pattern, moment, min(active) as active from events group by all),
+met as (
+  select p.page_id, p.url, p.fetched, s.list, s.verdict, s.kind, s.pattern, arg_max(s.active, s.moment) as active
+  from p join state s on s.moment <= p.fetched and p.host <> '' and case s.kind
+    when 'host' then s.pattern = p.host
+    when 'domain' then p.host = s.pattern or suffix(p.host, '.' || s.pattern)
+    else split_part(s.pattern, '/', 1) = p.host and list_aggregate(p.parts, 'string_agg', '/') || '/' like substr(s.pattern, instr(s.pattern, '/') + 1) || '/%' end
+  group by all),
+found as (
+  select page_id, url, fetched, count(*) as n_entries, bool_or(verdict = 'block') and not bool_or(verdict = 'allow') as blocked,
+    string_agg(distinct list, ',' order by list) as lists
+  from met where active = 1 group by all)
+select p.page_id, coalesce(blocked, false) as blocked, coalesce(n_entries, 0) as n_entries, coalesce(lists, '') as lists
+from p left join found f on p.page_id = f.page_id and p.url = f.url and p.fetched = f.fetched
+"""
+
+
+@query("op1_temporal_list", URL_SQL)
+def op1(spark, sf_dir):
+    """Every page against the list entries that were active when it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    events = spark.sql(EVENTS.replace("from hosts", "from {hosts}"), hosts=hosts)
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.expr(FETCHED).alias("fetched"))
+    return url_filter.url_filter(captures, events).withColumnRenamed("capture_id", "page_id")
