@@ -160,8 +160,8 @@ def write_ids(documents: DataFrame, path: str, end_id: int, folder: str, parts:
     """Write the ids of all texts to ``folder``, in ascending ``doc_id`` order.
 
     Every text (null: empty) is encoded by the tokenizer at ``path`` and ends with
-    ``end_id``. Rows of one id are ordered by their text, null ids come first; extra
-    columns are not read. The order is by range partitions, so no task holds more than
+    ``end_id``. Rows of one id lie side by side, in the order of a hash of their text; null
+    ids come first; extra columns are not read. The order is by range partitions, so no task holds more than
     its range, and equal ids may span ranges.
     """
     parts = parts or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -198,9 +198,9 @@ def write_ids(documents: DataFrame, path: str, end_id: int, folder: str, parts:
         if names:
             yield file()
 
-    rows = documents.select(F.col("doc_id").cast("long"), "text").withColumn("place", F.monotonically_increasing_id())
-    (rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "text")
-     .drop("place").mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, content binary")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    (rows.repartitionByRange(parts, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
+     .select("doc_id", "text").mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, content binary")
      .write.option("compression", "none").parquet(folder))
 
 

@@ -47,7 +47,7 @@ BROADCAST_IDS = 1_000_000
 
 LONGS = SYMBOLS // 4
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
-_PLACES = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+_PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, hasher: WordHasher, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
