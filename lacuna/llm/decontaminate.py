@@ -56,10 +56,11 @@ def seeded(frame: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
 
 
 def verified(frame: DataFrame) -> DataFrame:
-    """Most agreeing tokens in a window along ``shift``, where that is enough: ``best``.
+    """Most agreeing tokens in a window along ``shift``, or null where that is not enough: ``best``.
 
     ``words`` and ``item`` are the tokens of the document and of the item; token k of the
-    item lies at place k + shift of the document.
+    item lies at place k + shift of the document. No filter here: pushed down it would
+    copy these columns into each other and compute them once for every use.
     """
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("item"), F.size("words") - F.col("shift"))
@@ -72,8 +73,8 @@ def verified(frame: DataFrame) -> DataFrame:
     upto = F.aggregate("same", F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
     frame = frame.withColumn("upto", upto)
     windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("span")), lambda k: F.get("upto", k + F.col("span")) - F.get("upto", k))
-    best = F.when(F.size("same") >= F.col("span"), F.array_max(windows)).otherwise(0)
-    return frame.withColumn("best", best).filter(F.col("best") >= F.col("needed"))
+    frame = frame.withColumn("most", F.when(F.size("same") >= F.col("span"), F.array_max(windows)).otherwise(0))
+    return frame.withColumn("best", F.when(F.col("most") >= F.col("needed"), F.col("most")))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = small(written(hits, "hits"))
 
     pairs = texts.join(hits, "text_key").withColumn("words", tokens(F.col("text")))
-    judged = verified(pairs).groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"))
+    judged = verified(pairs).groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best")).filter("best is not null")
     judged = judged.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).cast("long").alias("n_items"), F.max("best").cast("long").alias("best"))
     return judged.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
 

@@ -44,10 +44,11 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
 
 
-def patterns(url: Column, most_parts: int) -> Column:
-    """Every ``kind, pattern`` a URL stands for: ``host``, ``domain`` (with its parents), ``prefix`` (up to ``most_parts`` parts)."""
-    host, parts = host_of(url), path_parts(url)
-    labels = F.split(host, r"\.")
+def patterns(host: Column, labels: Column, parts: Column, most_parts: int) -> Column:
+    """Every ``kind, pattern`` a URL stands for: ``host``, ``domain`` (with its parents), ``prefix`` (up to ``most_parts`` parts).
+
+    ``labels`` and ``parts`` are the parts of host and path.
+    """
     of = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: of("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     depth = F.least(F.size(parts), F.lit(most_parts))
@@ -93,7 +94,9 @@ def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     dealt = spans.filter(low <= high).withColumn("period", F.explode(F.sequence(low, high)))
     dealt = written(dealt, "intervals")
     dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
-    keys = known.withColumn("period", period(F.col("fetched"))).select("url", "fetched", "period", F.inline(patterns(F.col("url"), max(0, (most_parts or 1) - 1))))
+    parsed = known.select("url", "fetched", period(F.col("fetched")).alias("period"), host_of(F.col("url")).alias("host"), path_parts(F.col("url")).alias("parts"))
+    parsed = parsed.withColumn("labels", F.split("host", r"\."))
+    keys = parsed.select("url", "fetched", "period", F.inline(patterns(F.col("host"), F.col("labels"), F.col("parts"), max(0, (most_parts or 1) - 1))))
     met = keys.join(dealt, ["kind", "pattern", "period"]).filter("since <= fetched and (until is null or fetched < until)")
     found = met.groupBy("url", "fetched").agg(
         F.count(F.lit(1)).alias("n_entries"), F.max(F.col("verdict") == "block").alias("block"), F.max(F.col("verdict") == "allow").alias("allow"),
