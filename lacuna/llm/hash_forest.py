@@ -79,7 +79,7 @@ class Forest:
 
     def cut(self, sample: np.ndarray, n: int) -> None:
         """Cells from the codes of a sample of ``n`` vectors."""
-        share = n / max(1, len(sample))
+        share = max(1, n) / max(1, len(sample))
         most = max(CELL / share, SAMPLE_A_CELL)
         for t in range(self.trees):
             codes, leaves, open_ = np.sort(sample[:, t]), [], [(0, 0)]
