@@ -92,7 +92,7 @@ CODEBOOK = Codebook((
     Variable("cont_year", "continuous"),
 ))
 STUDY = Study(CODEBOOK, COHORTS, MaskSettings())
-MAR_STUDY = STUDY.with_masks(designs=("mar",), driver_min_observed=0.95)
+MAR_STUDY = STUDY.with_masks(designs=("mar",), driver_min_observed=0.94)
 
 
 _STORED: dict[tuple, str] = {}

@@ -45,16 +45,17 @@ def uniform_draw(spark, sf):
 
 # Columns complete enough to drive the MAR design in every cohort.
 DRIVERS = ["cnt_lines", "cont_year", "nom_region", "ord_priority"]
-MAR_TARGETS = ["cont_price", "cont_bal", "cnt_lines"]
+MAR_TARGETS = CODEBOOK.names
 DRIVER_SHARE = 0.94
 
 
 @query("f4_driver_list", base.WITH_CELLS + f"""
-select feature from (select cohort, feature, count(value) / cast(count(*) as double) s from cells group by 1,2) group by 1 having min(s) >= {DRIVER_SHARE}""")
+select cohort, feature from (select cohort, feature, count(value) / cast(count(*) as double) s from cells group by 1,2) where s >= {DRIVER_SHARE}""")
 def driver_list(spark, sf):
     profile = column_profile(encoded(spark, sf), CODEBOOK.names)
     settings = replace(MAR_STUDY.masks, driver_min_observed=DRIVER_SHARE)
-    return local_frame(spark, [(d,) for d in mask.mar_drivers(profile, settings, CODEBOOK.names)], "feature string")
+    found = mask.mar_drivers(profile, settings, CODEBOOK.names)
+    return local_frame(spark, [(c, d) for c, names in found.items() for d in names], "cohort string, feature string")
 
 
 DRIVER_STATS = ", ".join(
@@ -72,15 +73,18 @@ def driver_scores(spark, sf):
 
 
 def _sql_weight(target):
-    betas = mask.mar_betas(MAR_STUDY.masks, target, DRIVERS)
-    logit = " + ".join(f"z_{d} * cast({b!r} as double)" for d, b in betas.items())
-    return f"1.0 / (1.0 + exp(-least(greatest(3.0 * ({logit}), -10.0), 10.0)))"
+    def of(cohort):
+        betas = mask.mar_betas(MAR_STUDY.masks, cohort, target, DRIVERS)
+        logit = " + ".join(f"z_{d} * cast({b!r} as double)" for d, b in betas.items())
+        return f"1.0 / (1.0 + exp(-least(greatest(3.0 * ({logit}), -10.0), 10.0)))"
+
+    return "case cohort " + " ".join(f"when '{c}' then {of(c)}" for c in COHORTS) + " end"
 
 
 @query("f5_mar_weights", WITH_DRIVERS + "\nselect cohort, recordid, " + ", ".join(f"round({_sql_weight(t)}, 6) w_{t}" for t in MAR_TARGETS) + " from zs")
 def mar_weights(spark, sf):
     scored = mask.driver_scores(encoded(spark, sf), DRIVERS, len(COHORTS))
-    return scored.select(*KEYS, *[F.round(mask.mar_weight(MAR_STUDY.masks, t, DRIVERS), 6).alias(f"w_{t}") for t in MAR_TARGETS])
+    return scored.select(*KEYS, *[F.round(mask.mar_weight(MAR_STUDY.masks, t, dict.fromkeys(COHORTS, DRIVERS)), 6).alias(f"w_{t}") for t in MAR_TARGETS])
 
 
 @query("f6_tail_rules", base.WITH_WEIGHTS + "\nselect cohort, feature, round(low,6) low, round(high,6) high, n_levels, branch from rules")

@@ -101,11 +101,10 @@ MATRIX_COLUMNS = ["bin_lowbal"] + [f"round(({c} - m_{c}) / s_{c}, 6) {c}" for c
     x for c in ("nom_segment", "nom_region") for x in [*(f"coalesce(cast({c} = {i} as double), 0.0) {c}_{i}" for i in range(5)), f"cast({c} is null as double) {c}_missing"]]
 
 
-@query("i4_model_matrix", WITH_MATRIX + f"\nselect cohort, seed, recordid, fold, {', '.join(MATRIX_COLUMNS)} from f join st using (cohort, seed) where seed = 42")
+@query("i4_model_matrix", WITH_MATRIX + f"\nselect cohort, seed, recordid, fold, {', '.join(MATRIX_COLUMNS)} from f join st using (cohort, seed)")
 def model_matrix(spark, sf):
-    # One of the three seeds is shown; the fit covers all of them.
     out = pr.model_matrix(binary_folds(spark, sf), ["cohort", "seed"], ["recordid", "fold"], CODEBOOK, max_units=6)
-    return rounded(out.filter("seed = 42"), *pr.model_groups(CODEBOOK)["continuous"])
+    return rounded(out, *pr.model_groups(CODEBOOK)["continuous"])
 
 
 DOWN_UNIT = ["cohort", "seed"]

@@ -216,11 +216,11 @@ def work_list(spark, sf):
 
 @query("a12_fingerprint", WITH_REGISTRY + """
 select cohort, count(*) n_rows, cast(sum(cast(nom_segment is null as int) + cast(bin_lowbal is null as int)) as bigint) n_null,
-  cast(sum(('0x' || substr(md5(recordid || '|' || coalesce(nom_segment,'~') || '|' || coalesce(bin_lowbal,'~')),1,12))::BIGINT) as double) hash_sum
+  cast(sum(('0x' || substr(md5(length(recordid) || ':' || recordid || '|' || coalesce(length(nom_segment) || ':' || nom_segment,'~') || '|' || coalesce(length(bin_lowbal) || ':' || bin_lowbal,'~')),1,12))::BIGINT) as varchar) hash_sum
 from registry group by 1""")
 def fingerprint(spark, sf):
     frame = registry(spark, sf).select("cohort", "recordid", "nom_segment", "bin_lowbal")
-    return files.fingerprint(frame, ["cohort"]).withColumn("hash_sum", F.col("hash_sum").cast("double"))
+    return files.fingerprint(frame, ["cohort"]).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 # -- B: names, guards, joins ------------------------------------------------

@@ -154,12 +154,13 @@ def bootstrap(
     share it. Each cell is expanded only into the resamples it falls into.
     """
     u = hash_uniform(F.lit(seed), F.col("_b"), F.col(id_column))
-    # Poisson by inversion; beyond seven copies the probability is below 1e-9.
-    below, term, weight = 0.0, math.exp(-fraction), F.lit(0)
-    for copies in range(8):
+    # Poisson by inversion, up to where what is left is below the step of the uniform.
+    below, term, weight, copies = 0.0, math.exp(-fraction), F.lit(0), 0
+    while copies <= fraction or 1.0 - below > 1e-14:
         below += term
         weight = weight + (u >= below).cast("int")
-        term *= fraction / (copies + 1)
+        copies += 1
+        term *= fraction / copies
     pairs = held_out_pairs(cells).select(*by, id_column, "feature", "kind", "truth", "imputed")
     drawn = pairs.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight).filter("_w > 0")
     numeric = F.col("kind").isin(*NUMERIC)

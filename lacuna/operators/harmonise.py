@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.columns import as_number, clip
-from lacuna.functions.frames import local_frame, require_empty, require_unique
+from lacuna.functions.frames import bounded, local_frame, require_empty, require_unique
 
 NOT_APPLICABLE = "NotApplicable"
 
@@ -243,13 +243,19 @@ def zero_where_flag_is_zero(endpoint: str, flag: str) -> Column:
     return F.when(value.isNull() & (as_number(F.col(flag)) == 0), F.lit(0.0)).otherwise(value)
 
 
-def as_binary(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """{1, 2} coded columns become {0, 1}; anything else is rounded (half to even) and clipped."""
+def as_binary(frame: DataFrame, columns: Sequence[str], unit: Sequence[str] = (), max_units: int | None = None) -> DataFrame:
+    """{1, 2} coded columns become {0, 1}; anything else is rounded (half to even) and clipped.
+
+    With ``unit`` the coding is told for each unit, so stacked units may be coded differently.
+    """
     rounded = {c: F.rint(as_number(F.col(c))) for c in columns}
-    profile = frame.agg(*[
+    profile = frame.groupBy(*unit).agg(*[
         ((F.min(rounded[c]) >= 1) & (F.max(rounded[c]) == 2)).alias(f"_shift_{c}") for c in columns
     ])
-    out = frame.crossJoin(F.broadcast(profile))  # the profile is one row
+    if unit:
+        out = frame.join(bounded(profile, max_units), list(unit))
+    else:
+        out = frame.crossJoin(F.broadcast(profile))  # the profile is one row
     out = out.withColumns({
         c: F.when(F.col(f"_shift_{c}"), rounded[c] - 1).otherwise(clip(rounded[c], 0, 1)) for c in columns
     })

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,21 +57,25 @@ def budgets(profile: DataFrame, alphas: Sequence[float]) -> DataFrame:
 # -- weights ----------------------------------------------------------------
 
 
-def mar_drivers(profile: DataFrame, settings: MaskSettings, columns: Sequence[str]) -> list[str]:
-    """Columns observed in at least the wanted share of every cohort, most complete first."""
+def mar_drivers(profile: DataFrame, settings: MaskSettings, columns: Sequence[str]) -> dict[str, list[str]]:
+    """For each cohort the columns observed in at least the wanted share of it, most complete first."""
+    order = Window.partitionBy("cohort").orderBy(F.desc("observed"), "feature")
     shares = (
         profile.filter(F.col("feature").isin(list(columns)))
-        .groupBy("feature").agg(F.min(F.col("n_observed") / F.col("n")).alias("observed"))
+        .select("cohort", "feature", (F.col("n_observed") / F.col("n")).alias("observed"))
         .filter(F.col("observed") >= settings.driver_min_observed)
-        .orderBy(F.desc("observed"), "feature").limit(settings.max_drivers)
+        .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= settings.max_drivers)
     )
-    return sorted(r["feature"] for r in shares.collect())
+    found: dict[str, list[str]] = {}
+    for row in shares.orderBy("cohort", "feature").collect():  # cohorts x max_drivers rows at most
+        found.setdefault(row["cohort"], []).append(row["feature"])
+    return found
 
 
-def mar_betas(settings: MaskSettings, target: str, drivers: Sequence[str]) -> dict[str, float]:
-    """Coefficients ~ N(0, 1/sqrt(k)) of one target; a column never drives itself."""
-    own = [d for d in drivers if d != target]
-    return {d: hash_normal_value(settings.seed, "beta", target, d) / math.sqrt(len(own)) for d in own}
+def mar_betas(settings: MaskSettings, cohort: str, target: str, drivers: Sequence[str]) -> dict[str, float]:
+    """Coefficients ~ N(0, 1/sqrt(k)) of one target, drawn for each cohort; a column never drives itself."""
+    own, seed = [d for d in drivers if d != target], unit_seed(settings.seed, cohort, "mar")
+    return {d: hash_normal_value(seed, "beta", target, d) / math.sqrt(len(own)) for d in own}
 
 
 def driver_scores(frame: DataFrame, drivers: Sequence[str], rows: int | None = None) -> DataFrame:
@@ -93,14 +97,16 @@ def driver_scores(frame: DataFrame, drivers: Sequence[str], rows: int | None = N
     return joined.select(*frame.columns, *out)
 
 
-def mar_weight(settings: MaskSettings, target: str, drivers: Sequence[str]) -> Column:
-    """sigmoid(clip(scale * z.beta)) as a column over :func:`driver_scores`."""
-    betas = mar_betas(settings, target, drivers)
-    if not betas:
-        return F.lit(1.0)
-    logit = sum((F.col(f"z_{d}") * F.lit(b) for d, b in betas.items()), F.lit(0.0))
-    logit = clip(logit * settings.logit_scale, -settings.logit_clip, settings.logit_clip)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+def mar_weight(settings: MaskSettings, target: str, drivers: Mapping[str, Sequence[str]]) -> Column:
+    """sigmoid(clip(scale * z.beta)) of the row's cohort, as a column over :func:`driver_scores`; 1 without drivers."""
+    out = F.lit(1.0)
+    for cohort, names in drivers.items():
+        betas = mar_betas(settings, cohort, target, names)
+        if betas:
+            logit = sum((F.col(f"z_{d}") * F.lit(b) for d, b in betas.items()), F.lit(0.0))
+            logit = clip(logit * settings.logit_scale, -settings.logit_clip, settings.logit_clip)
+            out = F.when(F.col("cohort") == cohort, F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).otherwise(out)
+    return out
 
 
 def level_counts(cells: DataFrame) -> DataFrame:
@@ -129,7 +135,7 @@ def tail_profile(levels: DataFrame, study: Study) -> DataFrame:
         .agg((F.sum(F.when(in_tail, F.col("n")).otherwise(0)) / F.sum("n")).alias("tail_share"))
     )
     few = F.col("kind").isin(list(CATEGORICAL)) | (F.col("n_levels") < s.min_distinct)
-    collapsed = (F.col("tail_share") > 0.95) | (F.col("tail_share") < 0.05)
+    collapsed = (F.col("tail_share") > 1.0 - s.degenerate_tail) | (F.col("tail_share") < s.degenerate_tail)
     return per_column.join(share, GROUP, "left").select(
         "cohort", "feature", "low", "high", "n_levels",
         F.when(few, "rare").when(collapsed, "rare_wide").otherwise("tails").alias("branch"),
@@ -203,7 +209,7 @@ def _mnar_weights(cells: DataFrame, study: Study) -> DataFrame:
     return out
 
 
-def weighted_cells(frame: DataFrame, study: Study, features: Sequence[str], drivers: Sequence[str] = ()) -> DataFrame:
+def weighted_cells(frame: DataFrame, study: Study, features: Sequence[str], drivers: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Every cell once per design with its weight: ``keys, feature, kind, value, weight, design``."""
     kinds = {c: study.codebook.kinds[c] for c in features}
     parts = []
@@ -213,7 +219,9 @@ def weighted_cells(frame: DataFrame, study: Study, features: Sequence[str], driv
         elif design == "mnar":
             cells = _mnar_weights(to_cells(frame, study.keys, kinds), study)
         elif design == "mar":
-            scored = driver_scores(frame, drivers, len(study.cohorts)) if drivers else frame
+            drivers = drivers or {}
+            named = sorted({d for names in drivers.values() for d in names})
+            scored = driver_scores(frame, named, len(study.cohorts)) if named else frame
             args = [
                 x for c, kind in kinds.items()
                 for x in (F.lit(c), F.lit(kind), F.col(c), mar_weight(study.masks, c, drivers))
@@ -264,7 +272,7 @@ def inject(frame: DataFrame, study: Study) -> DataFrame:
     profile = pinned(column_profile(frame, features), study.groups())
     budget = pinned(budgets(profile, study.masks.alphas), study.groups(alphas=True))
     eligible = sorted({r["feature"] for r in budget.collect()})
-    drivers = mar_drivers(profile, study.masks, features) if "mar" in study.masks.designs else []
+    drivers = mar_drivers(profile, study.masks, features) if "mar" in study.masks.designs else {}
     rows = study.groups(designs=True, alphas=True)
 
     cells = with_clocks(weighted_cells(frame, study, features, drivers), study, eligible)

@@ -188,17 +188,18 @@ def model_matrix(frame: DataFrame, unit: Sequence[str], keep: Sequence[str], cod
     """Numeric matrix per (unit, seed): binary 0/1, numbers z-scored by the train fold,
     nominal one-hot with a missing indicator. Needs ``fold``.
 
-    A number without any observed train value becomes NULL throughout its unit.
+    A number without any observed train value becomes NULL throughout its unit. Codes of
+    a binary are told unit by unit; a codebook without numbers or binaries is fine.
     """
     groups = model_groups(codebook)
     numbers = [c for c in groups["continuous"] if c in frame.columns]
-    train = frame.filter("fold = 'train'").groupBy(*unit).agg(*[
-        x for c in numbers for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))
-    ])
-    stats = pinned(train, max_units)
     binaries = [c for c in groups["binary"] if c in frame.columns]
-    base = as_binary(frame, binaries) if binaries else frame
-    joined = base.join(bounded(stats, max_units), list(unit))
+    joined = as_binary(frame, binaries, unit, max_units) if binaries else frame
+    if numbers:
+        train = frame.filter("fold = 'train'").groupBy(*unit).agg(*[
+            x for c in numbers for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))
+        ])
+        joined = joined.join(bounded(pinned(train, max_units), max_units), list(unit), "left")
     out: list[Column] = [F.col(c).cast("double").alias(c) for c in binaries]
     for c in numbers:
         spread = F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) <= 1e-12, 1.0).otherwise(F.col(f"_s_{c}"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.columns import as_number
-from lacuna.functions.frames import local_frame
+from lacuna.functions.frames import bounded, local_frame
 from lacuna.functions.ordered import grouped_quantiles
 from lacuna.operators.harmonise import NOT_APPLICABLE
 from lacuna.plans.schema import Codebook
@@ -154,15 +154,17 @@ def classify_columns(
 
 
 def feature_meta(masked: DataFrame, columns: Sequence[str], eps: float = 1e-9) -> DataFrame:
-    """``feature, type`` by the first rule that matches; constants stay."""
+    """``feature, type`` by the first rule that matches; constants and all-null columns stay."""
     few = (F.col("int_like") & (F.col("n_unique") <= 10)) | (F.col("n_unique") / F.greatest(F.col("n"), F.lit(1)) <= 0.005)
     kind = (
         F.when(F.col("n_unique") == 2, "binary")
         .when(F.col("numeric_storage") & ~few, "continuous")
         .otherwise("multiclass")
     )
-    profile = value_profile(masked, columns, eps)
-    return profile.select("feature", kind.alias("type"))
+    # A column without values has no profile: no distinct value, hence few of them.
+    listed = local_frame(masked.sparkSession, [(c,) for c in columns], "feature string")
+    profile = bounded(listed, len(columns)).join(value_profile(masked, columns, eps), "feature", "left")
+    return profile.select("feature", F.when(F.col("n_unique").isNull(), "multiclass").otherwise(kind).alias("type"))
 
 
 def valid_levels(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -253,18 +255,26 @@ def codebook_frame(frame: DataFrame, columns: Sequence[str], declared: DeclaredT
 
 def build_codebook(frame: DataFrame, columns: Sequence[str], declared: DeclaredTypes) -> Codebook:
     """Decide every kind and label order once for all cohorts; all problems in one error."""
-    problems = codebook_problems(frame, columns, declared).orderBy("feature", "problem").limit(100).collect()
+    problems = codebook_problems(frame, columns, declared).orderBy("feature", "problem").limit(CODEBOOK_ROWS + 1).collect()
     if problems:
+        if len(problems) > CODEBOOK_ROWS:
+            raise ValueError(f"variable types are incomplete: more than {CODEBOOK_ROWS} problems")
         listing = "\n  - ".join(f"{r['feature']}: {r['problem']}" for r in problems)
         raise ValueError(f"variable types are incomplete:\n  - {listing}")
     rows = codebook_frame(frame, columns, declared).limit(CODEBOOK_ROWS + 1).collect()
     if len(rows) > CODEBOOK_ROWS:
         raise ValueError("codebook has too many levels; declare fewer nominal columns")
-    numeric = [c for c in columns if c not in {r["feature"] for r in rows}]
-    extra = [
-        {"feature": c, "kind": "count" if c in declared.count else "continuous", "level": None, "code": None}
-        for c in numeric
-    ]
+    stored = {f.name for f in frame.schema.fields if isinstance(f.dataType, T.NumericType)}
+
+    def without_labels(column: str) -> str:
+        if column in declared.count:
+            return "count"
+        if column in declared.ordinal:
+            return "ordinal"
+        return "continuous" if column in stored else "nominal"  # a text column emptied on the way
+
+    seen = {r["feature"] for r in rows}
+    extra = [{"feature": c, "kind": without_labels(c), "level": None, "code": None} for c in columns if c not in seen]
     return Codebook.from_rows([*rows, *extra])
 
 
@@ -310,13 +320,6 @@ def decode(frame: DataFrame, codebook: Codebook, keys: Sequence[str]) -> DataFra
     return frame.select(*keys, *out)
 
 
-def require_zero_one(frame: DataFrame, columns: Sequence[str]) -> None:
-    bad = frame.agg(*[F.count_if(~F.col(c).isin(0, 1)).alias(c) for c in columns]).first()
-    wrong = {c: bad[c] for c in columns if bad[c]}
-    if wrong:
-        raise ValueError(f"target value(s) other than 0 and 1: {wrong}")
-
-
 # -- taxonomy summaries -----------------------------------------------------
 
 

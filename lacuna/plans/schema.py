@@ -87,6 +87,7 @@ class MaskSettings:
     seed: int = 2025
     tail_quantile: float = 0.30
     tail_weight: float = 3.0
+    degenerate_tail: float = 0.05
     rare_weight: float = 3.0
     min_distinct: int = 12
     driver_min_observed: float = 0.99

@@ -121,9 +121,13 @@ def work_list(available: DataFrame, methods: DataFrame, targets: DataFrame, done
 
 
 def fingerprint(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Order-insensitive evidence per key: rows, NULL cells and a sum of row hashes."""
+    """Order-insensitive evidence per key: rows, NULL cells and a sum of row hashes.
+
+    Each cell enters with its length, NULL without one, so different rows have different texts.
+    """
     columns = [c for c in frame.columns if c not in keys]
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]
+    cells = [F.col(c).cast("string") for c in columns]
+    text = [F.when(x.isNull(), "~").otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x)) for x in cells]
     nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
     return frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
