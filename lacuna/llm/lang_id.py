@@ -168,7 +168,7 @@ class Model:
     prior: np.ndarray
     shares: np.ndarray
 
-    def words(self, vocabulary: Pieces, distinct: list[str], step: int = 20_000) -> np.ndarray:
+    def words(self, vocabulary: Pieces, distinct: list[str], step: int = 4_000) -> np.ndarray:
         """Log-probability of each word in each language."""
         out = np.zeros((len(distinct), len(self.languages)))
         for first in range(0, len(distinct), step):
@@ -181,7 +181,7 @@ class Model:
 class Scorer:
     """Scores texts; keeps the scores of words seen before while there is room."""
 
-    def __init__(self, vocabulary: Pieces, model: Model, room: int = 400_000):
+    def __init__(self, vocabulary: Pieces, model: Model, room: int = 200_000):
         self.vocabulary, self.model, self.room = vocabulary, model, room
         self.seen: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
@@ -238,8 +238,8 @@ def expected_counts(words: DataFrame, path: str, shares: np.ndarray) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary, total = pieces(path), np.zeros_like(broad.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 20_000):
-                some = batch.slice(first, 20_000)
+            for first in range(0, batch.num_rows, 4_000):
+                some = batch.slice(first, 4_000)
                 parts, of = stretches(some.column("word").to_pylist())
                 counts = some.column("counts").flatten().to_numpy().reshape(-1, total.shape[1]).astype(np.float64)
                 total += expected(vocabulary.arcs(parts), broad.value, counts[of])
@@ -293,11 +293,11 @@ def identified(documents: DataFrame, model: Model, path: str) -> DataFrame:
         scorer = scorer_of(path, broad)
         for block in blocks(batches):
             names, score = scorer(block.column("text"))
-            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("text"), pa.array(names, pa.string()), pa.array(score)], ["row", "text", "lang_pred", "score"])
 
-    nested = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
-    out = nested.mapInArrow(run, nested.select("row").schema.add("lang_pred", "string").add("score", "double"))
-    return out.select(*[F.col(f"row.`{c}`") for c in others], "lang_pred", "score")
+    nested = documents.select(F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"), "text")
+    out = nested.mapInArrow(run, nested.schema.add("lang_pred", "string").add("score", "double"))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in others], "lang_pred", "score")
 
 
 def predict(documents: DataFrame, model: Model, path: str) -> DataFrame:

@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 16 << 20
-#: Text of a block whose words are hashed, with several arrays of a number for each word.
-HASH_BLOCK = 4 << 20
+#: Text of a block. Each word of it takes part in a dozen arrays of numbers, so a block takes about 100 MB while it is worked on.
+BLOCK_BYTES = 4 << 20
 #: Bytes hashed at a time: hashing takes about 40 times as much memory.
 HASHED_BYTES = 1 << 20
 
@@ -41,6 +40,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             last = max(first + 1, int(np.searchsorted(ends, taken + size, side="right")))
             yield batch.slice(first, last - first)
             first = last
+        pa.default_memory_pool().release_unused()  # two workers share an executor with its heap
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ class PartCoder:
     alone, as ``show`` writes them.
     """
 
-    def __init__(self, tokenizer, single: str, show: Callable[[str], str], room: int = 500_000):
+    def __init__(self, tokenizer, single: str, show: Callable[[str], str], room: int = 250_000):
         self.tokenizer, self.single, self.show, self.room = tokenizer, single, show, room
         self.known: dict[str, bytes] = {}
 
