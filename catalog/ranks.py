@@ -15,7 +15,7 @@ FAMILY = ["cohort", "target_type"]
 BLOCKS = ["design", "split_seed"]
 SCORES_SQL = """select l_returnflag cohort, case when l_linestatus = 'O' then 'binary' else 'continuous' end target_type,
   cast(year(l_shipdate) as int) design, cast(l_suppkey % 4 as int) split_seed, 'm' || cast(l_linenumber as varchar(3)) arm,
-  floor(avg(l_quantity) * 4) / 4.0 as value
+  floor(avg(l_quantity) * 4) / 4.0 + case when l_returnflag = 'A' then max(l_linenumber) * 3.0 else 0.0 end as value
 from {lineitem} where not (l_linenumber = 3 and l_suppkey % 4 = 1 and year(l_shipdate) = 1997) group by 1,2,3,4,5"""
 
 
@@ -97,11 +97,35 @@ def pairwise(spark, sf):
     return out.drop("tie_term", "worse_arm")
 
 
-@query("j6_pairwise_p")
+# The p of the signed-rank statistic: the number of sign patterns with a sum of ranks up to w where there are
+# no ties and no zeros (counts[r][t]: subsets of 1..r with sum t), else the normal tail; erf is its series in
+# positive terms.
+WITH_SIGNED_P = WITH_PAIRS.replace("with scores", "with recursive scores", 1) + """,
+counts as (
+  select 0 as r, list_transform(range(0, 1276), lambda t: case when t = 0 then 1::bigint else 0::bigint end) as c
+  union all select r + 1, list_transform(range(0, 1276), lambda t: c[t + 1] + case when t > r then c[t - r] else 0 end) from counts where r < 50),
+tied as (select cohort, target_type, arm_a, arm_b, sum(t * t * t - t) as tie_term from (
+  select cohort, target_type, arm_a, arm_b, cast(count(*) as double) as t from signed group by cohort, target_type, arm_a, arm_b, abs(diff)) group by all),
+stat as (select b.*, w.w, coalesce(tie_term, 0.0) as tie_term, cast(n_nonzero_differences as double) as n,
+    n_nonzero_differences <= 50 and coalesce(tie_term, 0.0) = 0 and n_complete_blocks = n_nonzero_differences as exact
+  from base b left join w using (cohort, target_type, arm_a, arm_b) left join tied using (cohort, target_type, arm_a, arm_b)),
+tail as (select *, abs(w - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - tie_term / 2.0) / 24.0) / sqrt(2.0) as x from stat),
+signed_p as (select t.*, case when w is null or n < 1 then null
+    when exact then least(1.0, 2.0 * list_sum(c[1:cast(floor(w) as int) + 1]) / pow(2.0, n))
+    when x = 0 or x is null or isnan(x) then 1.0
+    else 1.0 - exp(-x * x) * (select sum(exp((2 * k + 1) * ln(x) - lgamma(k + 1.5))) from range(0, 150) s(k)) end as p
+  from tail t left join counts on counts.r = t.n_nonzero_differences),
+adjusted as (select *, least(1.0, max((m - rn + 1) * p) over (partition by cohort, target_type order by p, rn rows unbounded preceding)) as p_holm
+  from (select *, row_number() over (partition by cohort, target_type order by p) as rn, count(*) over (partition by cohort, target_type) as m from signed_p where p is not null))"""
+
+
+@query("j6_pairwise_p", WITH_SIGNED_P + """
+select cohort, target_type, arm_a, arm_b, cast(w as double) wilcoxon_statistic, round(p, 7) p_value, round(p_holm, 7) p_holm from adjusted""")
 def pairwise_p(spark, sf):
     complete = stats.paired_blocks(scores(spark, sf), FAMILY, BLOCKS, ARMS)
     pairs = stats.with_signed_rank_p(stats.pairwise_wilcoxon(complete, FAMILY, BLOCKS, direction()))
-    return stats.holm(pairs, FAMILY).select(*FAMILY, "arm_a", "arm_b", "wilcoxon_statistic", "p_value", "p_holm")
+    out = stats.holm(pairs, FAMILY).select(*FAMILY, "arm_a", "arm_b", "wilcoxon_statistic", "p_value", "p_holm")
+    return rounded(out, "p_value", "p_holm", digits=7)
 
 
 @query("j7_holm", WITH_BLOCKS + "\nselect cohort, target_type, round(p,8) p_value, round(p_holm,8) p_holm from hv")
@@ -110,7 +134,10 @@ def holm(spark, sf):
     return rounded(out, "p_value", "p_holm", digits=8)
 
 
-@query("j8_compare_arms")
+@query("j8_compare_arms", WITH_SIGNED_P + """
+select cohort, target_type, status, reject, case when reject then n_tested else 0 end n_pairwise_tested, case when reject then n_significant else 0 end n_pairwise_significant
+from (select cohort, target_type, 'ok' as status, p < 0.05 as reject from pv) join (
+  select cohort, target_type, count(*) n_tested, count(*) filter (where p_holm < 0.05) n_significant from adjusted group by 1, 2) using (cohort, target_type)""")
 def compare_arms(spark, sf):
     found, pairs = stats.compare_arms(scores(spark, sf), FAMILY, BLOCKS, ARMS, direction())
     return stats.pairwise_counts(found, pairs, FAMILY).select(
@@ -164,12 +191,34 @@ def fidelity_ranking(spark, sf):
     return rounded(stats.arm_summary(ranks, family).select(*family, "arm", "n_complete_blocks", "mean_rank"), "mean_rank")
 
 
-@query("j11_per_target", WITH_BLOCKS + """
-select cohort, target_type, n n_complete_blocks, round(chi2,6) chi2, round(p_holm,8) p_holm from hv""")
+@query("j10_fidelity_omnibus", _three_arm_sql()[:_three_arm_sql().rindex("\nselect cohort")] + """,
+tied as (select *, count(*) over (partition by cohort, design, alpha, feature, sk) t from rk),
+pa as (select cohort, is_rmse, arm, sum(r) rs, count(*) n, sum(t * t - 1) ties from tied group by 1, 2, 3),
+fam as (select cohort, is_rmse, count(*) k, max(n) n, sum(rs * rs) ss, sum(ties) ties, (max(rs) - min(rs)) / max(n) spread from pa group by 1, 2),
+t as (select *, (12.0 / (n * k * (k + 1.0)) * ss - 3.0 * n * (k + 1.0)) / (1.0 - ties / (n * k * (k * k - 1.0))) chi2 from fam where n >= 3)
+select cohort, case when is_rmse then 'Continuous' else 'Categorical' end variable_type, n n_complete_blocks, round(chi2, 6) chi2, round(exp(-chi2 / 2), 8) p_value, round(spread, 6) rank_spread from t""")
+def fidelity_omnibus(spark, sf):
+    values = fidelity_arms(spark, sf).withColumn("value", F.round("value", 9)).withColumnRenamed("method", "arm")
+    way = F.when(F.col("variable_type") == "Continuous", stats.LOWER).otherwise(stats.HIGHER)
+    found = stats.omnibus(values, ["cohort", "variable_type"], ["simulation", "feature"], ["mean", "one", "two"], way).filter("status = 'ok'")
+    out = stats.ranking_ends(found).select("cohort", "variable_type", "n_complete_blocks", "chi2", "p_value", "rank_spread")
+    return rounded(rounded(out, "chi2", "rank_spread"), "p_value", digits=8)
+
+
+# Per endpoint: three endpoints, blocks of design x intensity x split; Holm over all of cohort x endpoint.
+TARGETS_SQL = """select l_returnflag cohort, 'y' || cast(l_partkey % 3 as varchar(3)) target, cast(year(l_shipdate) as int) design, cast(l_suppkey % 2 as int) intensity,
+  cast(l_suppkey % 6 as int) split_seed, 'm' || cast(l_linenumber as varchar(3)) arm, floor(avg(l_quantity) * 4) / 4.0 as value
+from {lineitem} where l_linenumber <= 7 group by 1,2,3,4,5,6"""
+WITH_TARGETS = WITH_BLOCKS[WITH_BLOCKS.index("totals as"):].replace("target_type = 'binary'", "target <> 'y2'").replace("target_type", "target").replace("split_seed", "intensity, split_seed")
+
+
+@query("j11_per_target", f"with scores as ({TARGETS_SQL.format(lineitem='lineitem')}), " + WITH_TARGETS + """
+select cohort, target, n n_complete_blocks, round(chi2,6) chi2, round(p_holm,8) p_holm, p_holm < 0.05 reject from hv""")
 def per_target(spark, sf):
-    # One family per (cohort, endpoint); Holm over all of them.
-    out = tests(spark, sf, holm_over=[]).filter("status = 'ok'")
-    return rounded(rounded(out.select(*FAMILY, "n_complete_blocks", "chi2", "p_holm"), "chi2"), "p_holm", digits=8)
+    found = spark.sql(TARGETS_SQL, lineitem=table(spark, sf, "lineitem"))
+    way = F.when(F.col("target") != "y2", stats.HIGHER).otherwise(stats.LOWER)
+    out = stats.omnibus(found, ["cohort", "target"], ["design", "intensity", "split_seed"], ARMS, way, holm_over=[]).filter("status = 'ok'")
+    return rounded(rounded(out.select("cohort", "target", "n_complete_blocks", "chi2", "p_holm", "reject"), "chi2"), "p_holm", digits=8)
 
 
 @query("j12_positions", WITH_BLOCKS + """
@@ -187,13 +236,12 @@ def mean_rank_table(spark, sf):
     return rounded(out, "chi2", *ARMS)
 
 
-@query("k14_blocks_won", WITH_PAIRS + """
+@query("k14_blocks_won", WITH_SIGNED_P + """
 select cohort, target_type, case when (target_type = 'binary') = (delta > 0) then arm_a else arm_b end better_arm, case when (target_type = 'binary') = (delta > 0) then arm_b else arm_a end worse_arm,
-  case when (target_type = 'binary') = (delta > 0) then n_blocks_favouring_a else n_nonzero_differences - n_blocks_favouring_a end blocks_won, n_complete_blocks, delta median_diff_a_minus_b
-from base where delta <> 0""")
+  case when (target_type = 'binary') = (delta > 0) then n_blocks_favouring_a else n_nonzero_differences - n_blocks_favouring_a end blocks_won, n_complete_blocks, delta median_diff_a_minus_b,
+  round(p_holm, 7) p_holm
+from adjusted semi join (select * from pv where p < 0.05) using (cohort, target_type) where p_holm < 0.05 and delta <> 0""")
 def blocks_won(spark, sf):
-    complete = stats.paired_blocks(scores(spark, sf), FAMILY, BLOCKS, ARMS)
-    pairs = stats.pairwise_wilcoxon(complete, FAMILY, BLOCKS, direction())
-    # Every decided pair is listed here; the study keeps those that survive Holm.
-    decided = pairs.withColumn("reject_holm", F.col("better_arm").isNotNull()).withColumn("p_holm", F.lit(None).cast("double"))
-    return report.surviving_pairs(decided, FAMILY).drop("p_holm")
+    # The pairs that survive Holm in the families whose omnibus rejects.
+    _, pairs = stats.compare_arms(scores(spark, sf), FAMILY, BLOCKS, ARMS, direction())
+    return rounded(report.surviving_pairs(pairs.filter("better_arm is not null"), FAMILY), "p_holm", digits=7)
