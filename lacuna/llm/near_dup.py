@@ -45,6 +45,8 @@ MOST_DIFFERENT = 28
 #: A filter by ids is broadcast up to so many of them, and a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
+#: The places of a chunk that its keys keep.
+KEPT = list(combinations(range(CHUNK), CHUNK - ERRORS))
 LONGS = SYMBOLS // 4
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
 _PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -113,8 +115,8 @@ def described(documents: DataFrame) -> DataFrame:
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """``key, id``: for every chunk a key for each way to leave out ``ERRORS`` of its symbols."""
-    kept = list(combinations(range(CHUNK), CHUNK - ERRORS))
+    """``key, at, id``: for every chunk a key for each way to leave out ``ERRORS`` of its symbols; ``at`` numbers them."""
+    kept = KEPT
 
     def run(batches):
         for batch in batches:
@@ -127,18 +129,42 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (CHUNKS * len(kept))), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "keys"])
 
-    return classes.select("id", *SIGNATURE).mapInArrow(run, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    return classes.select("id", *SIGNATURE).mapInArrow(run, "id long, keys array<long>").select(F.posexplode("keys").alias("at", "key"), "id")
 
 
-def differing(x: str, y: str) -> Column:
-    """How many symbols of two signatures differ; a signature is a struct of longs."""
-    total = []
+def differences(x: str, y: str) -> list[Column]:
+    """For each long of two signatures (structs), a bit in each of its four symbols that differs."""
+    out = []
     for k in range(LONGS):
         d = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
         for bits, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
             d = d.bitwiseOR(F.shiftrightunsigned(d, bits)).bitwiseAND(F.lit(mask))
-        total.append(F.bit_count(d))
-    return reduce(lambda p, q: p + q, total)
+        out.append(d)
+    return out
+
+
+def differing(x: str, y: str) -> Column:
+    """How many symbols of two signatures differ."""
+    return reduce(lambda p, q: p + q, map(F.bit_count, differences(x, y)))
+
+
+def first_shared(x: str, y: str) -> Column:
+    """Number of the first key that two signatures share; null if they share none.
+
+    A pair that shares several keys is made into a row at this one only.
+    """
+    bits = []
+    for k, d in enumerate(differences(x, y)):
+        four = [F.shiftrightunsigned(d, 15 * lane).bitwiseAND(F.lit(1 << lane)) for lane in range(4)]
+        bits.append(F.shiftleft(reduce(Column.bitwiseOR, four), 4 * k))
+    shared = [next((k for k, places in enumerate(KEPT) if not any(chunk >> p & 1 for p in places)), None) for chunk in range(1 << CHUNK)]
+    table = F.array(*[F.lit(k).cast("int") for k in shared])
+
+    def first(mask: Column) -> Column:
+        of = lambda c: F.get(table, F.shiftrightunsigned(mask, CHUNK * c).bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int"))
+        return F.coalesce(*[F.lit(c * len(KEPT)) + of(c) for c in range(CHUNKS)])
+
+    return F.get(F.transform(F.array(reduce(Column.bitwiseOR, bits)), first), 0)
 
 
 def alike(x: str, y: str) -> Column:
@@ -160,6 +186,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists], ["id", "shingles"])
 
     sets = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    sets = written(sets, "sets")  # of documents in pairs only; used twice
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * same >= SIMILARITY * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
@@ -201,9 +228,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = labelled(shared)
     open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     members = members.join(open_keys, "key").join(signed, "id")
-    left = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x"))
+    left = members.select("key", "at", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x"))
     right = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("y"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("x", "y"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("x", "y") & (first_shared("x", "y") == F.col("at")))
     links.append(written(confirmed(written(pairs.select("a", "b").distinct(), "pairs"), documents), "links"))
     labels = components(reduce(DataFrame.union, links))
 

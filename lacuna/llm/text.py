@@ -6,6 +6,8 @@ holds a few megabytes of text at a time however long the documents are.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,6 +31,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside its executor's heap, idle or in the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``size`` bytes of text, or one longer row."""
     for batch in batches:
@@ -40,7 +49,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             last = max(first + 1, int(np.searchsorted(ends, taken + size, side="right")))
             yield batch.slice(first, last - first)
             first = last
-        pa.default_memory_pool().release_unused()  # two workers share an executor with its heap
+        give_back()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
