@@ -252,3 +252,17 @@ def search(vectors: DataFrame, query_filter: str, k: int = 20) -> DataFrame:
     bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1e300)))
     up = visit(requests(bounded, forest, True), indexed, k)
     return nearest(down.select("query_id", "vec_id", "score").union(up), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+#: The exact search, which the forest equals while one cell holds all vectors.
+SQL = """
+with v as (
+  select vec_id, min(embedding::double[]) as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0
+    and len(list_filter(embedding, lambda y: y <> 0)) > 0 group by vec_id),
+q as (
+  select a.vec_id as query_id, b.vec_id, list_reduce(list_prepend(0.0::double, list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), lambda s, y: s + y) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, cast(rank as int) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from q) where rank <= 20
+"""

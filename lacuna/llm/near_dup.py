@@ -245,3 +245,26 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     lost = written(near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("lost")).distinct(), "lost")
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
     return documents.join(lost, documents["doc_id"] == lost["lost"], "left_anti")
+
+
+#: ``near_duplicates`` in SQL: all pairs of rows that share a shingle, then everything that can be reached.
+SQL = r"""
+with recursive d as (
+  select row_number() over () as row, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (select distinct row, array_to_string(w[k:k + 4], ' ') as shingle from (
+  select row, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as k from d)),
+n as (select row, count(*) as n from s group by row),
+shared as (select a.row as a, b.row as b, count(*) as same from s a join s b on a.shingle = b.shingle and a.row <> b.row group by all),
+links as (
+  select a, b from shared join n x on x.row = a join n y on y.row = b where 100 * same >= 75 * (x.n + y.n - same)
+  union select x.row, y.row from d x join d y on x.doc_id = y.doc_id and x.row <> y.row),
+known as (select l.a, l.b from links l join d x on x.row = l.a join d y on y.row = l.b where x.doc_id is not null and y.doc_id is not null),
+reach as (
+  select row, doc_id as label from d where doc_id is not null
+  union select k.b, r.label from reach r join known k on k.a = r.row),
+found as (select row, min(label) as component_id from reach group by row)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, coalesce(doc_id = component_id, true) as kept
+from d left join n using (row) left join found using (row)
+"""

@@ -38,7 +38,7 @@ def op5(spark, sf_dir):
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op10_sampled_splitters")
+@query("op10_sampled_splitters", shards.SQL)
 def op10(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
     found = shards.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
@@ -55,7 +55,7 @@ def op6(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op7_minhash_hamming")
+@query("op7_minhash_hamming", near_dup.SQL)
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,7 +74,7 @@ def op8(spark, sf_dir):
     return line_templates.clean(documents).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-@query("op3_hash_forest")
+@query("op3_hash_forest", hash_forest.SQL)
 def op3(spark, sf_dir):
     """The 20 nearest others of every twentieth vector."""
     return hash_forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)

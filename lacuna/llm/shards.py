@@ -139,3 +139,22 @@ def shard_by_bytes(documents: DataFrame, shards: int = 24) -> DataFrame:
     firsts = [sum(held[s] for s in range(shard)) for shard in range(shards)]
     slot = F.col("row") - F.element_at(F.array(*[F.lit(x).cast("long") for x in firsts]), F.col("shard") + 1)
     return sharded(placed).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
+
+
+#: ``shard_by_bytes`` in SQL, with a table-driven crc32: rows in key order, each in the shard of its middle byte.
+SQL = r"""
+with crc_table as (
+  select list(list_reduce(list_prepend(b::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+  from range(256) r(b)),
+d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+s as (
+  select row, doc_id, md5(text) as key, cast(octet_length(encode(text)) + {row_bytes} as bigint) as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32
+  from d, crc_table),
+o as (select *, sum(size) over (order by key, doc_id is not null, doc_id < 0, doc_id, row) as upto, sum(size) over () as total from s),
+p as (select *, cast(least({shards} - 1, ((2 * upto - size) * {shards}) // (2 * total)) as int) as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by key, doc_id is not null, doc_id < 0, doc_id, row) - 1 as slot,
+  cast(null as int) as grown_shard
+from p
+""".replace("{row_bytes}", str(ROW_BYTES)).replace("{shards}", "24")

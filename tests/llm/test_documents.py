@@ -287,3 +287,12 @@ def test_first_shared_key_and_differences_of_signatures(spark):
         keys = [c * len(near_dup.KEPT) + k for c in range(near_dup.CHUNKS) for k, places in enumerate(near_dup.KEPT) if all(same[c][p] for p in places)]
         assert found[i]["n"] == (a != b).sum()
         assert found[i]["first"] == (keys[0] if keys else None)
+
+
+def test_groups_and_shards_as_in_sql(nasty, no_rows):
+    for frame in (nasty, no_rows):
+        documents = frame.select("doc_id", "text").filter("text is null or length(text) < 20000")
+        same_rows(through_sql(near_dup.SQL, documents=documents), [r.asDict() for r in near_dup.near_duplicates(documents).collect()])
+        found = shards.shard_by_bytes(documents, 24).select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+        drop = lambda rows: [{k: v for k, v in r.items() if k != "slot"} for r in rows]  # noqa: E731  equal rows may change places
+        same_rows(drop(through_sql(shards.SQL, documents=documents)), drop(r.asDict() for r in found.collect()))
