@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures and a multi-index Hamming join.
 
 A document's set holds the distinct shingles of five lower-cased words. Its signature
-has ``CHUNKS`` x ``CHUNK`` symbols of 16 bits, each from a minimum hash, so two documents
+has ``CHUNKS`` x ``CHUNK`` symbols of 11 bits, each from a minimum hash, so two documents
 differ in about a quarter of the symbols at a similarity of 0.75. By the pigeonhole
 principle a pair with fewer than ``CHUNKS * (ERRORS + 1)`` differing symbols has a chunk
 with at most ``ERRORS`` of them. The allowed errors of a chunk are enumerated: a key for
@@ -47,8 +47,12 @@ BROADCAST_IDS = 1_000_000
 
 #: The places of a chunk that its keys keep.
 KEPT = list(combinations(range(CHUNK), CHUNK - ERRORS))
-LONGS = SYMBOLS // 4
-SIGNATURE = [f"s{k}" for k in range(LONGS)]
+#: A chunk is a long: a lane of 12 bits for each symbol, the highest bit of which stays free.
+LANE = 12
+SIGNATURE = [f"s{k}" for k in range(CHUNKS)]
+_SHIFTS = np.arange(CHUNK, dtype=np.uint64) * np.uint64(LANE)
+_BELOW = sum(((1 << (LANE - 1)) - 1) << (LANE * p) for p in range(CHUNK))
+_FREE = sum(1 << (LANE * p + LANE - 1) for p in range(CHUNK))
 _PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -75,18 +79,18 @@ def shingle_sets(texts: pa.Array, hasher: WordHasher, size: int = WORDS) -> tupl
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """``SYMBOLS`` 16-bit symbols of each set that is not empty.
+    """The signature of each set that is not empty: a 64-bit number for each chunk.
 
     The k-th hash is the low half of a shingle's hash plus k times its odd high half.
     """
     value, step = sets.astype(np.uint32), (sets >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
-    out = np.zeros((len(full), SYMBOLS), dtype=np.uint16)
+    out = np.zeros((len(full), SYMBOLS), dtype=np.uint64)
     if len(full):
         for k in range(SYMBOLS):
-            out[:, k] = np.minimum.reduceat(value, full).astype(np.uint16)
+            out[:, k] = np.minimum.reduceat(value, full) & ((1 << (LANE - 1)) - 1)
             value += step
-    return out
+    return (out.reshape(-1, CHUNKS, CHUNK) << _SHIFTS).sum(axis=2, dtype=np.uint64)
 
 
 def described(documents: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def described(documents: DataFrame) -> DataFrame:
             n = np.diff(offsets)
             empty, full = n == 0, offsets[:-1][n > 0]
             columns = [np.add.reduceat(mix(sets ^ np.uint64(salt)), full) if len(full) else np.zeros(0, np.uint64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            columns += list(signatures(sets, offsets).view(np.uint64).T)
+            columns += list(signatures(sets, offsets).T)
             arrays = []
             for values in columns:
                 spread = np.zeros(len(n), dtype=np.int64)
@@ -121,10 +125,10 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             packed = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in SIGNATURE])
-            symbols = np.ascontiguousarray(packed).view(np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
+            symbols = packed[:, :, None] >> _SHIFTS & np.uint64((1 << LANE) - 1)
             keys = np.empty((len(symbols), CHUNKS, len(kept)), dtype=np.uint64)
             for k, places in enumerate(kept):
-                keys[:, :, k] = reduce(lambda key, p: key << np.uint64(16) | symbols[:, :, p], places, np.uint64(0))
+                keys[:, :, k] = reduce(lambda key, p: key << np.uint64(LANE) | symbols[:, :, p], places, np.uint64(0))
             keys = mix(keys ^ mix(np.arange(1, 1 + keys[0].size, dtype=np.uint64).reshape(keys.shape[1:]))) if len(keys) else keys
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (CHUNKS * len(kept))), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "keys"])
@@ -132,39 +136,32 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", *SIGNATURE).mapInArrow(run, "id long, keys array<long>").select(F.posexplode("keys").alias("at", "key"), "id")
 
 
-def differences(x: str, y: str) -> list[Column]:
-    """For each long of two signatures (structs), a bit in each of its four symbols that differs."""
-    out = []
-    for k in range(LONGS):
-        d = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
-        for bits, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, bits)).bitwiseAND(F.lit(mask))
-        out.append(d)
-    return out
+def differing_in(x: str, y: str, chunk: int) -> Column:
+    """How many symbols of a chunk differ in two signatures (structs of longs).
+
+    A lane that differs carries into its free bit when all ones below it are added.
+    """
+    d = F.col(f"{x}.s{chunk}").bitwiseXOR(F.col(f"{y}.s{chunk}"))
+    return F.bit_count((d + F.lit(_BELOW)).bitwiseAND(F.lit(_FREE)))
 
 
 def differing(x: str, y: str) -> Column:
     """How many symbols of two signatures differ."""
-    return reduce(lambda p, q: p + q, map(F.bit_count, differences(x, y)))
+    return reduce(lambda p, q: p + q, [differing_in(x, y, c) for c in range(CHUNKS)])
 
 
-def first_shared(x: str, y: str) -> Column:
-    """Number of the first key that two signatures share; null if they share none.
+def first_shared(x: str, y: str, at: str) -> Column:
+    """Whether key ``at``, which two signatures share, is the first one that they share.
 
-    A pair that shares several keys is made into a row at this one only.
+    The chunk has to be the first within ``ERRORS`` = 1. A chunk with one difference has
+    a single shared key, one without differences shares all, of which the first counts.
     """
-    bits = []
-    for k, d in enumerate(differences(x, y)):
-        four = [F.shiftrightunsigned(d, 15 * lane).bitwiseAND(F.lit(1 << lane)) for lane in range(4)]
-        bits.append(F.shiftleft(reduce(Column.bitwiseOR, four), 4 * k))
-    shared = [next((k for k, places in enumerate(KEPT) if not any(chunk >> p & 1 for p in places)), None) for chunk in range(1 << CHUNK)]
-    table = F.array(*[F.lit(k).cast("int") for k in shared])
-
-    def first(mask: Column) -> Column:
-        of = lambda c: F.get(table, F.shiftrightunsigned(mask, CHUNK * c).bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int"))
-        return F.coalesce(*[F.lit(c * len(KEPT)) + of(c) for c in range(CHUNKS)])
-
-    return F.get(F.transform(F.array(reduce(Column.bitwiseOR, bits)), first), 0)
+    out = F
+    for c in range(CHUNKS):
+        n = differing_in(x, y, c)
+        own = (F.expr(f"{at} div {len(KEPT)}") == c) & ((F.col(at) % len(KEPT) == 0) | (n == 1))
+        out = out.when(n <= ERRORS, own)
+    return out.otherwise(False)
 
 
 def alike(x: str, y: str) -> Column:
@@ -230,7 +227,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = members.join(open_keys, "key").join(signed, "id")
     left = members.select("key", "at", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x"))
     right = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("y"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("x", "y") & (first_shared("x", "y") == F.col("at")))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("x", "y") & first_shared("x", "y", "at"))
     links.append(written(confirmed(written(pairs.select("a", "b").distinct(), "pairs"), documents), "links"))
     labels = components(reduce(DataFrame.union, links))
 

@@ -275,18 +275,20 @@ def test_range_search(spark):
 
 def test_first_shared_key_and_differences_of_signatures(spark):
     rng = np.random.default_rng(9)
-    left = rng.integers(0, 1 << 16, (200, near_dup.SYMBOLS)).astype(np.uint16)
-    right = np.where(rng.random(left.shape) < rng.random((200, 1)) * 0.6, rng.integers(0, 1 << 16, left.shape), left).astype(np.uint16)
-    pack = lambda x: x.view(np.int64).tolist()
-    names = [f"{side}{k}" for side in "xy" for k in range(near_dup.LONGS)]
+    left = rng.integers(0, 1 << 11, (200, near_dup.SYMBOLS)).astype(np.uint64)
+    right = np.where(rng.random(left.shape) < rng.random((200, 1)) * 0.6, rng.integers(0, 1 << 11, left.shape), left).astype(np.uint64)
+    pack = lambda x: (x.reshape(near_dup.CHUNKS, near_dup.CHUNK) << near_dup._SHIFTS).sum(axis=1).astype(np.int64).tolist()
+    names = [f"{side}{k}" for side in "xy" for k in range(near_dup.CHUNKS)]
     frame = spark.createDataFrame([(i, *pack(a), *pack(b)) for i, (a, b) in enumerate(zip(left, right))], "i int, " + ", ".join(f"{n} long" for n in names))
-    frame = frame.select("i", *[F.struct(*[F.col(f"{side}{k}").alias(f"s{k}") for k in range(near_dup.LONGS)]).alias(side) for side in "xy"])
-    found = {r["i"]: r for r in frame.select("i", near_dup.differing("x", "y").alias("n"), near_dup.first_shared("x", "y").alias("first")).collect()}
-    for i, (a, b) in enumerate(zip(left, right)):
-        same = (a == b).reshape(near_dup.CHUNKS, near_dup.CHUNK)
+    frame = frame.select("i", *[F.struct(*[F.col(f"{side}{k}").alias(f"s{k}") for k in range(near_dup.CHUNKS)]).alias(side) for side in "xy"])
+    every = F.explode(F.sequence(F.lit(0), F.lit(near_dup.CHUNKS * len(near_dup.KEPT) - 1))).alias("at")
+    rows = frame.select("i", "x", "y", every).select("i", "at", near_dup.differing("x", "y").alias("n"), near_dup.first_shared("x", "y", "at").alias("first")).collect()
+    for r in rows:
+        same = (left[r["i"]] == right[r["i"]]).reshape(near_dup.CHUNKS, near_dup.CHUNK)
         keys = [c * len(near_dup.KEPT) + k for c in range(near_dup.CHUNKS) for k, places in enumerate(near_dup.KEPT) if all(same[c][p] for p in places)]
-        assert found[i]["n"] == (a != b).sum()
-        assert found[i]["first"] == (keys[0] if keys else None)
+        assert r["n"] == (left[r["i"]] != right[r["i"]]).sum()
+        if r["at"] in keys:
+            assert r["first"] == (r["at"] == keys[0])
 
 
 def test_groups_and_shards_as_in_sql(nasty, no_rows):
