@@ -296,7 +296,7 @@ def identified(documents: DataFrame, model: Model, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("row"), block.column("text"), pa.array(names, pa.string()), pa.array(score)], ["row", "text", "lang_pred", "score"])
 
     nested = documents.select(F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"), "text")
-    out = nested.mapInArrow(run, nested.schema.add("lang_pred", "string").add("score", "double"))
+    out = nested.mapInArrow(run, nested.select("*").schema.add("lang_pred", "string").add("score", "double"))
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in others], "lang_pred", "score")
 
 
