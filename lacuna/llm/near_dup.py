@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures and a multi-index Hamming join.
 
 A document's set holds the distinct shingles of five lower-cased words. Its signature
-has ``CHUNKS`` x ``CHUNK`` symbols of 11 bits, each from a minimum hash, so two documents
+has ``CHUNKS`` x ``CHUNK`` symbols of 11 bits, each from a minimum of its own independent hash, so two documents
 differ in about a quarter of the symbols at a similarity of 0.75. By the pigeonhole
 principle a pair with fewer than ``CHUNKS * (ERRORS + 1)`` differing symbols has a chunk
 with at most ``ERRORS`` of them. The allowed errors of a chunk are enumerated: a key for
@@ -40,8 +40,8 @@ WORDS = 5
 SIMILARITY = 75  # per cent
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 SYMBOLS = CHUNKS * CHUNK
-#: Pairs with more differing symbols are not confirmed: at a similarity of 0.75 that is one pair in 25,000.
-MOST_DIFFERENT = 28
+#: Pairs with more differing symbols are not confirmed: at a similarity of 0.75 one pair in a hundred million, far fewer than share no key.
+MOST_DIFFERENT = 35
 #: A filter by ids is broadcast up to so many of them, and a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -53,6 +53,10 @@ SIGNATURE = [f"s{k}" for k in range(CHUNKS)]
 _SHIFTS = np.arange(CHUNK, dtype=np.uint64) * np.uint64(LANE)
 _BELOW = sum(((1 << (LANE - 1)) - 1) << (LANE * p) for p in range(CHUNK))
 _FREE = sum(1 << (LANE * p + LANE - 1) for p in range(CHUNK))
+#: Makes the hash of each symbol independent of the others.
+_SALTS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Shingles hashed at a time for a signature, so that they stay in a processor's cache.
+_STRETCH = 1 << 15
 _PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -81,15 +85,18 @@ def shingle_sets(texts: pa.Array, hasher: WordHasher, size: int = WORDS) -> tupl
 def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The signature of each set that is not empty: a 64-bit number for each chunk.
 
-    The k-th hash is the low half of a shingle's hash plus k times its odd high half.
+    The k-th hash of a shingle is its own hash with the k-th salt, mixed again.
     """
-    value, step = sets.astype(np.uint32), (sets >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    full = offsets[:-1][offsets[1:] > offsets[:-1]]
+    filled = offsets[1:] > offsets[:-1]
+    full, ends = offsets[:-1][filled], offsets[1:][filled]
     out = np.zeros((len(full), SYMBOLS), dtype=np.uint64)
-    if len(full):
+    first = 0
+    while first < len(full):
+        last = max(first + 1, int(np.searchsorted(ends, full[first] + _STRETCH, side="right")))
+        stretch, at = sets[full[first]:ends[last - 1]], full[first:last] - full[first]
         for k in range(SYMBOLS):
-            out[:, k] = np.minimum.reduceat(value, full) & ((1 << (LANE - 1)) - 1)
-            value += step
+            out[first:last, k] = np.minimum.reduceat(mix(stretch ^ _SALTS[k]), at) & np.uint64((1 << (LANE - 1)) - 1)
+        first = last
     return (out.reshape(-1, CHUNKS, CHUNK) << _SHIFTS).sum(axis=2, dtype=np.uint64)
 
 
