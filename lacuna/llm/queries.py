@@ -6,7 +6,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, lang_id, line_templates, near_dup, quality, shards, storage, url_filter
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, isolation, lang_id, line_templates, near_dup, quality, shards, storage, url_filter
 from lacuna.llm.registry import query, table
 
 
@@ -55,6 +55,15 @@ def op6(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op11_isolation_forest")
+def op11(spark, sf_dir):
+    """Base rules and isolation forest over every whole text."""
+    stats = storage.written(isolation.rule_statistics(table(spark, sf_dir, "documents")), "statistics")
+    found = storage.written(isolation.scored(stats, isolation.fit(stats)), "scored")
+    threshold = isolation.calibrate(found, table(spark, sf_dir, "labels"))
+    return isolation.verdicts(found, threshold).select("doc_id", *isolation.COUNTS, "base_failed", "kept", "score")
+
+
 @query("op7_minhash_hamming", near_dup.SQL)
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents."""
