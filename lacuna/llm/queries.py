@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, isolation, lang_id, line_templates, near_dup, quality, shards, storage, url_filter
+from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, isolation, lang_id, line_templates, near_dup, periodic, quality, shards, storage, url_filter
 from lacuna.llm.registry import query, table
 
 
@@ -64,6 +67,46 @@ def op11(spark, sf_dir):
     return isolation.verdicts(found, threshold).select("doc_id", *isolation.COUNTS, "base_failed", "kept", "score")
 
 
+def with_planted_repeats(documents):
+    """``doc_id, text``, where the end of every tenth text (by its id's hash) repeats itself; a null id changes nothing."""
+
+    def planted(doc_id, text):
+        h = zlib.crc32(str(doc_id).encode())
+        words = (text or "").encode().split()
+        if doc_id is None or h % 10 or not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)]).decode()
+
+    def run(batches):
+        for batch in batches:
+            for block in periodic.blocks([batch], size=periodic.BLOCK):
+                ids, texts = block.column("doc_id"), block.column("text").to_pylist()
+                done = pa.array([planted(i, t) for i, t in zip(ids.to_pylist(), texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, done], ["doc_id", "text"])
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
+
+
+#: Of two runs the one with the greater exact length / period first; of equal ones the earlier one, then the shorter period.
+BY_EXPONENT = """array_sort(runs, (x, y) -> case when x.length * y.period > y.length * x.period then -1 when x.length * y.period < y.length * x.period then 1
+  when x.start <> y.start then if(x.start < y.start, -1, 1) else if(x.period < y.period, -1, if(x.period > y.period, 1, 0)) end)"""
+
+
+@query("op12_recompression")
+def op12(spark, sf_dir):
+    """Periodic runs of every whole text, with planted ones, and the texts without their repetitions."""
+    found = periodic.periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", F.expr(f"get({BY_EXPONENT}, 0)"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query("op7_minhash_hamming", near_dup.SQL)
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents."""
