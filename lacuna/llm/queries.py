@@ -9,7 +9,7 @@ from public_tokenizers import path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.llm import bitplanes, byte_bpe, decontaminate, hash_forest, isolation, lang_id, line_templates, near_dup, periodic, quality, shards, storage, url_filter
+from lacuna.llm import bitplanes, byte_bpe, conversations, decontaminate, hash_forest, isolation, lang_id, line_templates, near_dup, periodic, quality, shards, storage, url_filter
 from lacuna.llm.registry import query, table
 
 
@@ -107,6 +107,33 @@ def op12(spark, sf_dir):
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def damaged(rows):
+    """Conversation rows, dropped, emptied, cut, repeated or given to the user by the hash of their key."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    text, h = F.coalesce("text", space), F.col("_h")
+    hashed = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("_h")).filter(h != 0)
+    hashed = hashed.withColumn("text", F.when(h == 1, "").when(h == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    hashed = hashed.withColumn("role", F.when(h == 4, "user").otherwise(F.col("role")))
+    return hashed.withColumn("_copy", F.explode(F.when(h == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_h", "_copy")
+
+
+@query("op13_hirschberg")
+def op13(spark, sf_dir):
+    """Damaged conversations: their faults, the cheapest repair and a digest of the repaired turns."""
+    rows = table(spark, sf_dir, "conversations")
+    placed, edits, report = conversations.repair(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = rows.select("conv_id").distinct()
+    parts = [report, conversations.audits(edits), conversations.digests(conversations.repaired(placed, edits))]
+    for part in parts:
+        found = conversations.matched(found, part, how="left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 @query("op7_minhash_hamming", near_dup.SQL)
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents."""
