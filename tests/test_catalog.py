@@ -7,7 +7,7 @@ from catalog import load_all
 
 QUERIES, ORACLES = load_all()
 # Each fits several models; the other tests cover their parts.
-HEAVY = {"g4_mice_numeric", "g5_mice_factors", "g7_chain_invariants", "g4_filled_from_observed", "g8_missranger", "i7_binary_model", "i7_test_counts", "i12_fold_sizes", "i12_continuous_model",
+HEAVY = {"i7_downsampled_model", "g4_mice_numeric", "g5_mice_factors", "g7_chain_invariants", "g4_filled_from_observed", "g8_missranger", "i7_binary_model", "i7_test_counts", "i12_fold_sizes", "i12_continuous_model",
          "i13_hurdle_model", "i14_log_error_model"}
 
 
