@@ -161,11 +161,11 @@ profile as (select cohort, feature, count(*) n, count(value) n_observed from cel
 budget0 as (select cohort, feature, alpha, n_observed,
     cast(floor(n * alpha * ((n - n_observed) / cast(n as double))) as bigint) budget
   from profile, {ALPHAS_SQL} where n_observed < n and n_observed > 0),
-budget as (select cohort, feature, alpha, budget from (
+budget as materialized (select cohort, feature, alpha, budget from (
     select *, max(budget) over (partition by cohort, feature) top from budget0) where top > 0 and n_observed >= top)"""
 
 WITH_WEIGHTS = WITH_BUDGET + """,
-levels as (select cohort, feature, kind, value, count(*) n from cells where value is not null group by all),
+levels as materialized (select cohort, feature, kind, value, count(*) n from cells where value is not null group by all),
 ends as (select cohort, feature, quantile_cont(value, 0.3) low, quantile_cont(value, 0.7) high
   from cells where kind in ('continuous','count') and value is not null group by 1,2),
 tail as (select cohort, feature, avg(case when value <= low or value >= high then 1.0 else 0.0 end) share
@@ -178,7 +178,7 @@ rules as (select l.cohort, l.feature, low, high, n_levels,
 ranked as (select cohort, feature, value, row_number() over (partition by cohort, feature order by n, value) r,
     count(*) over (partition by cohort, feature) k from levels),
 rare as (select cohort, feature, value from ranked where k >= 2 and r <= greatest(1, k // 2)),
-weights as (
+weights as materialized (
   select cohort, recordid, feature, kind, value, 'mcar' design, cast(1.0 as double) weight from cells
   union all
   select c.cohort, c.recordid, c.feature, c.kind, c.value, 'mnar' design,
@@ -188,9 +188,9 @@ weights as (
   left join rare r on c.cohort = r.cohort and c.feature = r.feature and c.value = r.value)"""
 
 WITH_MASKS = WITH_WEIGHTS + f""",
-clocks as (select *, -ln({sql_uniform(SEED_SQL, 'feature', 'recordid')}) / weight clock from weights
+clocks as materialized (select *, -ln({sql_uniform(SEED_SQL, 'feature', 'recordid')}) / weight clock from weights
   where value is not null and exists (select 1 from budget b where b.cohort = weights.cohort and b.feature = weights.feature)),
-drawn as (select cohort, recordid, feature, design,
+drawn as materialized (select cohort, recordid, feature, design,
     row_number() over (partition by cohort, design, feature order by clock, recordid) rn from clocks),
 masks as (select w.cohort, w.recordid, w.feature, w.kind, w.design, a.alpha, w.value truth,
     case when w.value is null then 1 when d.rn <= b.budget then 2 else 0 end status,

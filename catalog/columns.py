@@ -39,9 +39,10 @@ def missingness(spark, sf):
     return rounded(p.missingness_table(stored_registry(spark, sf), FIELDS, COHORTS), "miss_A", "miss_B", "miss_max")
 
 
-SELECTION = MISS + """,
+RANKED = MISS + """,
 ranked as (select feature, miss_max, row_number() over (order by miss_max, feature) position from miss_table where feature <> 'nom_region')
-select feature, round(miss_max,6) miss_max, cast(position as int) position, {keep} selected, not ({keep}) and position - (select count(*) from ranked where {keep}) <= 5 next_excluded from ranked"""
+"""
+SELECTION = RANKED + """select feature, round(miss_max,6) miss_max, cast(position as int) position, {keep} selected, not ({keep}) and position - (select count(*) from ranked where {keep}) <= 5 next_excluded from ranked"""
 
 
 @query("d2_select_by_cutoff", SELECTION.format(keep="miss_max <= 0.5"))
@@ -56,6 +57,14 @@ def select_top_n(spark, sf):
     return rounded(p.selection(table, n_predictors=6, reserved=["nom_region"]), "miss_max")
 
 
+@query("d2_column_plan", RANKED + """
+select case when position <= 6 then 'predictor' else 'excluded' end as role, count(*) as n, round(min(miss_max),6) as least, round(max(miss_max),6) as most from ranked group by 1
+union all select 'held_out', 1, round(miss_max,6), round(miss_max,6) from miss_table where feature = 'nom_region'""")
+def column_plan(spark, sf):
+    table = p.missingness_table(stored_registry(spark, sf), FIELDS, COHORTS)
+    return rounded(p.plan_summary(p.column_plan(table, n_predictors=6, held_out=["nom_region"])), "least", "most")
+
+
 WITH_TYPED = WITH_TEXT + """,
 counted as (select feature, label, count(*) n from text_cells where label is not null group by 1,2),
 typed as (select feature, feature not in ('nom_segment','ord_priority','bin_lowbal') numeric_storage, count(*) n_unique, sum(n) n,

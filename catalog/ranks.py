@@ -245,3 +245,14 @@ def blocks_won(spark, sf):
     # The pairs that survive Holm in the families whose omnibus rejects.
     _, pairs = stats.compare_arms(scores(spark, sf), FAMILY, BLOCKS, ARMS, direction())
     return rounded(report.surviving_pairs(pairs.filter("better_arm is not null"), FAMILY), "p_holm", digits=7)
+
+
+@query("j9_surviving_pairs", WITH_SIGNED_P + """
+select cohort, target_type, case when (target_type = 'binary') = (delta > 0) then arm_a else arm_b end better_arm, case when (target_type = 'binary') = (delta > 0) then arm_b else arm_a end worse_arm,
+  case when (target_type = 'binary') = (delta > 0) then n_blocks_favouring_a else n_nonzero_differences - n_blocks_favouring_a end blocks_won, n_complete_blocks, delta median_diff_a_minus_b,
+  round(p_holm, 7) p_holm
+from adjusted semi join (select * from hv where p_holm < 0.05) using (cohort, target_type) where p_holm < 0.05 and delta <> 0""")
+def surviving_pairs(spark, sf):
+    # Holm over the families' omnibus tests first, then over the pairs of those that it leaves.
+    _, pairs = stats.compare_arms(scores(spark, sf), FAMILY, BLOCKS, ARMS, direction(), correct_families=True)
+    return rounded(report.surviving_pairs(pairs.filter("better_arm is not null"), FAMILY), "p_holm", digits=7)

@@ -1,7 +1,8 @@
 """A whole reconstruction study: mask, prepare, impute by every arm, score, keep.
 
 Stage outputs are tables under one folder, with the unit and the method as partition
-columns; a run picks up where an earlier one stopped.
+columns. A run picks up where an earlier one stopped: only what the commit log under the
+folder has counts as done, and a table that is not what was committed is refused.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lacuna.functions.frames import local_frame, require_empty, to_wide
 from lacuna.operators import fidelity as fid
@@ -18,24 +18,11 @@ from lacuna.operators import impute, mask
 from lacuna.operators.encode import prepare_units
 from lacuna.plans.arms import impute_arm
 from lacuna.plans.schema import Study
-from lacuna.sources.files import pending, write_units
+from lacuna.sources.commits import CommitLog
 
 UNIT = impute.UNIT
 
 
-def _existing(frame: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return frame.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _stage(frame: DataFrame, path: str, build, partition: Sequence[str]) -> DataFrame:
-    if _existing(frame, path) is None:
-        write_units(build(), path, partition)
-    return frame.sparkSession.read.parquet(path)
-
-
 def run_fidelity(
     frame: DataFrame, study: Study, methods: Sequence[str], folder: str, *, k: int = 2,
     overrides: Mapping[str, Mapping] | None = None,
@@ -45,26 +32,27 @@ def run_fidelity(
     ``frame`` is the wide encoded matrix. Raises when the finished grid has a hole, a
     duplicate or arms scored on different features.
     """
-    spark = frame.sparkSession
+    spark, log = frame.sparkSession, CommitLog(frame.sparkSession, folder)
     rows = study.groups(designs=True, alphas=True)
-    masked = _stage(frame, f"{folder}/masked", lambda: mask.inject(frame, study), UNIT)
-    canonical = _stage(frame, f"{folder}/canonical", lambda: prepare_units(masked, UNIT, rows)[0], UNIT)
+    masked = log.table("masked", f"{folder}/masked", lambda: mask.inject(frame, study), UNIT)
+    canonical = log.table("canonical", f"{folder}/canonical", lambda: prepare_units(masked, UNIT, rows)[0], UNIT)
     keys = [*UNIT, study.id_column]
-    wide = _stage(frame, f"{folder}/matrix", lambda: to_wide(canonical, keys, study.codebook.names, "masked"), UNIT)
+    wide = log.table("matrix", f"{folder}/matrix", lambda: to_wide(canonical, keys, study.codebook.names, "masked"), UNIT)
     truth = canonical.filter("status = 2").select(*keys, "feature", "truth", "status")
 
     scores = f"{folder}/scores"
     wanted = local_frame(spark, [(m,) for m in methods], "method string")
     grid = masked.select(*UNIT).distinct().crossJoin(F.broadcast(wanted))
-    done = _existing(frame, scores)
-    open_arms = pending(grid, done.select(*UNIT, "method").distinct(), [*UNIT, "method"]) if done is not None else grid
+    units = ["method", *UNIT]
+    open_arms = log.pending("scores", grid, units)
     for method in [r["method"] for r in open_arms.select("method").distinct().orderBy("method").collect()]:
-        path = f"{folder}/imputed/method={method}"
-        filled = _stage(
-            frame, path, lambda m=method: impute_arm(wide, UNIT, study, m, k=k, overrides=overrides), UNIT
+        members = range(impute.ensemble_size(method) if method in impute.DETERMINISTIC else k)
+        filled = log.table(
+            f"imputed {method}", f"{folder}/imputed/method={method}", lambda m=method: impute_arm(wide, UNIT, study, m, k=k, overrides=overrides), UNIT, seeds=members
         )
         hidden = filled.join(truth, [*keys, "feature"]).withColumn("method", F.lit(method))
-        write_units(fid.fidelity(hidden), scores, ["method", *UNIT])
+        log.add("scores", scores, fid.fidelity(hidden), units, F.col("method") == method)
+    log.require("scores", spark.read.parquet(scores), units)
     values = spark.read.parquet(scores).select(*UNIT, "method", "metric", "feature", "value")
     values = values.withColumn("alpha", F.col("alpha").cast("double"))
     require_empty(fid.grid_violations(values, grid.withColumn("alpha", F.col("alpha").cast("double"))), "fidelity grid")

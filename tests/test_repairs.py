@@ -63,7 +63,7 @@ def test_factors_enter_as_levels_and_no_predictors_as_a_constant(spark):
     settings = chained.ChainSettings(donors=1, ridge=1e-6)
     filled = chained.impute_column_mice(state, "y", ["level"], "id", book, settings, 1).collect()
     assert len(filled) == 40 and all(r["imputed"] == by_level[r["id"] % 4] for r in filled)
-    assert chained._assembled(state, ["level"], book, False).schema["_x"].metadata["ml_attr"]["attrs"]["nominal"][0]["vals"] == ["a", "b", "c", "d"]
+    assert chained._assembled(state, ["level"], book).schema["_x"].metadata["ml_attr"]["attrs"]["nominal"][0]["vals"] == ["a", "b", "c", "d"]
     drawn = chained.impute_column_mice(state, "y", [], "id", book, settings, 1).collect()
     assert len(drawn) == 40 and {r["imputed"] for r in drawn} <= {10.0, -10.0}
 

@@ -165,12 +165,21 @@ def test_codebook_reports_all_problems_at_once(spark, sf):
     assert book["ord_priority"].levels == tuple(base.PRIORITIES) and book["bin_lowbal"].levels == ("No", "Yes")
 
 
-def test_selection_refuses_to_split_a_tie(spark):
-    table = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.2)], "feature string, miss_max double")
+def test_a_column_plan_gives_every_column_a_role(spark):
+    table = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.2), ("t", 0.0), ("x", 0.9)], "feature string, miss_max double")
     with pytest.raises(ValueError, match="ties"):
-        profile.select_columns(table, n_predictors=2)
-    columns, info = profile.select_columns(table, n_predictors=1, always_keep=["id"])
-    assert columns == ["id", "a"] and [e["feature"] for e in info["excluded_next"]] == ["b", "c"]
+        profile.column_plan(table, n_predictors=2, always_drop=["x"], held_out=["t"])
+    with pytest.raises(ValueError, match="available"):
+        profile.column_plan(table, n_predictors=4, always_drop=["x"], held_out=["t"])
+    plan = profile.column_plan(table, n_predictors=1, always_keep=["id"], always_drop=["x"], held_out=["t"])
+    found = {r["feature"]: (r["role"], r["miss_max"], r["next_excluded"]) for r in plan.collect()}
+    assert found == {
+        "id": ("kept", None, None), "x": ("dropped", 0.9, None), "t": ("held_out", 0.0, None),
+        "a": ("predictor", 0.1, False), "b": ("excluded", 0.2, True), "c": ("excluded", 0.2, True)}
+    assert profile.planned_columns(plan) == ["id", "a"]
+    summary = {r["role"]: (r["n"], r["least"], r["most"]) for r in profile.plan_summary(plan).collect()}
+    assert summary["excluded"] == (2, 0.2, 0.2) and summary["predictor"] == (1, 0.1, 0.1)
+    assert profile.planned_columns(profile.column_plan(table, max_missing_fraction=0.2)) == ["a", "b", "c", "t"]
 
 
 def test_degenerate_scales_are_flagged(spark):
