@@ -45,6 +45,10 @@ MOST_DIFFERENT = 35
 #: A filter by ids is broadcast up to so many of them, and a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
+#: Keys of more classes are compared in blocks of so many sets and shingles.
+LARGE_KEY, BLOCK_SETS, BLOCK_SHINGLES = 64, 512, 1 << 19
+SALTS = 64
+
 #: The places of a chunk that its keys keep.
 KEPT = list(combinations(range(CHUNK), CHUNK - ERRORS))
 #: A chunk is a long: a lane of 12 bits for each symbol, the highest bit of which stays free.
@@ -177,9 +181,8 @@ def alike(x: str, y: str) -> Column:
     return (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (differing(x, y) <= MOST_DIFFERENT)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of doc_ids whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """``id, shingles`` of the documents that ``ids`` (``doc_id``) names, written."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches):
@@ -190,12 +193,79 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists], ["id", "shingles"])
 
     sets = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
-    sets = written(sets, "sets")  # of documents in pairs only; used twice
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return written(sets, "sets")
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of doc_ids whose full sets are similar enough.
+
+    ``a`` may be in the pairs of a whole group: its set goes once to each of ``SALTS`` parts of them.
+    """
+    sets = full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), documents)
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    firsts = pairs.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(firsts, ["a", "salt"])
     same = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * same >= SIMILARITY * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
 
 
+def spanning_links(ids: np.ndarray, component: np.ndarray, block: np.ndarray, values: np.ndarray, offsets: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Links that join the components of sets with a similarity of ``SIMILARITY``, as few as will do.
+
+    All pairs are compared on their full sets, but for those of one component and, if ``across``, of one block.
+    Only sets outside the largest component are held against the others, one against all at a time.
+    """
+    names, place = np.unique(values, return_inverse=True)
+    sizes = np.diff(offsets)
+    kinds, component = np.unique(component, return_inverse=True)
+    parent = list(range(len(kinds)))
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found, own = [], np.zeros(len(names), dtype=np.int32)
+    largest = np.bincount(component).argmax()
+    for r in np.flatnonzero(component != largest):
+        mine = place[offsets[r]:offsets[r + 1]]
+        own[mine] = 1
+        same = np.add.reduceat(own[place], offsets[:-1])
+        own[mine] = 0
+        alike = (100 * same >= SIMILARITY * (sizes + sizes[r] - same)) & (component != component[r])
+        for t in np.flatnonzero(alike & (block != block[r]) if across else alike):
+            a, b = top(component[r]), top(component[t])
+            if a != b:
+                parent[a] = b
+                found.append((int(ids[r]), int(ids[t])))
+    return found
+
+
+def links_of_large_keys(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """``a, b``: links between the components of the ``key, id, component`` of keys with many members.
+
+    Members are dealt to blocks of bounded size by a hash; every two blocks of a key meet in a
+    task, which compares the full sets there and returns at most a link for each member.
+    """
+    sets = full_sets(members.select(F.col("id").alias("doc_id")).distinct(), documents)
+    sizes = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("n"))
+    dealt = members.join(sizes, "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = written(dealt, "dealt")
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt
+    spread = members.join(dealt, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(keys, table):
+        lists = table["shingles"].combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        columns = [table[c].combine_chunks().to_numpy() for c in ("id", "component", "block")]
+        found = spanning_links(*columns, lists.values.to_numpy()[offsets[0]:offsets[-1]], offsets - offsets[0], keys[1] != keys[2])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return spread.join(sets, "id").filter(F.size("shingles") > 0).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
     rows = written(described(documents), "described")
@@ -224,14 +294,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         pairs = labelled(pairs.withColumnRenamed("component", "own").withColumnRenamed("id", "b").withColumnRenamed("pivot", "id")).filter("own <> component")
         pairs = pairs.select(F.col("id").alias("a"), "b")
         pairs = pairs.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b").join(signed.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
-        pairs = pairs.filter(alike("x", "y")).groupBy("b").agg(F.min("a").alias("a"))
+        # Of several smallest classes the one whose signature is nearest.
+        pairs = pairs.filter(alike("x", "y")).groupBy("b").agg(F.min_by("a", F.struct(differing("x", "y"), "a")).alias("a"))
         links.append(written(confirmed(written(pairs, "pairs"), documents), "links"))
         labels = components(reduce(DataFrame.union, links))
 
-    # Pairs of a key in different components.
+    # Pairs of a key in different components: of large keys in blocks of full sets, of others at the first key that they share.
     members = labelled(shared)
-    open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = members.join(open_keys, "key").join(signed, "id")
+    open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high").select("key", "members")
+    members = written(members.join(open_keys, "key"), "members")
+    large = members.filter(F.col("members") > LARGE_KEY).select("key", "id", "component")
+    if not large.isEmpty():
+        links.append(written(links_of_large_keys(large, documents), "links"))
+    members = members.filter(F.col("members") <= LARGE_KEY).join(signed, "id")
     left = members.select("key", "at", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x"))
     right = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("y"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("x", "y") & first_shared("x", "y", "at"))

@@ -166,6 +166,34 @@ def test_near_duplicates_are_all_found(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("large, sets", [(3, 5), (1, 512)])
+def test_large_keys_in_blocks_lose_no_link(spark, monkeypatch, large, sets):
+    monkeypatch.setattr(near_dup, "LARGE_KEY", large)
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", sets)
+    test_near_duplicates_are_all_found(spark)
+
+
+def test_spanning_links_join_what_is_alike():
+    rng = np.random.default_rng(2)
+    for across in (False, True):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(8, 20))) for _ in range(8)]
+        sets += [np.unique(np.append(np.delete(s, rng.integers(0, len(s))), rng.integers(0, 60))) for s in sets for _ in range(5)]
+        n = len(sets)
+        component, block = rng.integers(0, n - 5, n), rng.integers(0, 2, n)
+        found = near_dup.spanning_links(np.arange(n), component, block, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), across)
+
+        def joined(links, component=component):
+            label = component.copy()
+            for a, b in links:
+                label[label == label[a]] = label[b]
+            return {frozenset(np.flatnonzero(label == c).tolist()) for c in label}
+
+        alike = [(a, b) for a, b in combinations(range(n), 2) if not (across and block[a] == block[b])
+                 and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))]
+        assert set(map(frozenset, found)) <= set(map(frozenset, alike)) and len(found) < n
+        assert joined(found) == joined(alike)
+
+
 def test_near_duplicates_of_nasty_rows(nasty, no_rows):
     rows = [(r["doc_id"], r["text"]) for r in nasty.collect()]
     found = [r.asDict() for r in near_dup.near_duplicates(nasty).collect()]
