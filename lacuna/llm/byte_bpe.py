@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 
-from lacuna.llm.text import KIND, PartCoder, blocks, raw
+from lacuna.llm.text import FORGET, KIND, PartCoder, blocks, raw
 
 # Parts that are a single match of the pattern, whatever the Unicode version.
 ONE_MATCH = r"^ ?([A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+)$"
@@ -134,6 +134,9 @@ def model(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+FORGET["byte_bpe"] = model.cache_clear
+
+
 def character_offsets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character starts and ends of tokens that end at byte places ``ends`` of one text.
 
@@ -152,7 +155,7 @@ def encode(documents: DataFrame, path: str, pattern: str = PATTERN, offsets: boo
 
     def run(batches):
         bpe = model(path, pattern)
-        for block in blocks(batches):
+        for block in blocks(batches, owner="byte_bpe"):
             texts = block.column("text").fill_null("")
             ids, rows = bpe.encode(texts)
             lists = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids.astype(np.int32)))]
@@ -199,7 +202,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str = PATTERN, with_ids
 
     def run(batches):
         bpe = model(path, pattern)
-        for block in blocks(batches):
+        for block in blocks(batches, owner="byte_bpe"):
             texts = block.column("text").fill_null("")
             ids, rows = bpe.encode(texts)
             data, bytes_at = raw(texts)

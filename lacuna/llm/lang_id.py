@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.text import blocks
+from lacuna.llm.text import FORGET, blocks
 
 UND = "und"
 #: A classifier may be fitted on a bounded sample: so many labelled texts of each language at most, in expectation.
@@ -291,7 +291,7 @@ def identified(documents: DataFrame, model: Model, path: str) -> DataFrame:
 
     def run(batches):
         scorer = scorer_of(path, broad)
-        for block in blocks(batches):
+        for block in blocks(batches, owner="lang_id"):
             names, score = scorer(block.column("text"))
             yield pa.RecordBatch.from_arrays([block.column("row"), block.column("text"), pa.array(names, pa.string()), pa.array(score)], ["row", "text", "lang_pred", "score"])
 
@@ -306,7 +306,7 @@ def predict(documents: DataFrame, model: Model, path: str) -> DataFrame:
 
     def run(batches):
         scorer = scorer_of(path, broad)
-        for block in blocks(batches):
+        for block in blocks(batches, owner="lang_id"):
             names, score = scorer(block.column("text"))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -329,3 +329,11 @@ def scorer_of(path: str, broad) -> Scorer:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(pieces(path), broad.value)
     return _SCORERS[key]
+
+
+def _forget() -> None:
+    _SCORERS.clear()
+    pieces.cache_clear()
+
+
+FORGET["lang_id"] = _forget

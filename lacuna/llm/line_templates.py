@@ -36,6 +36,8 @@ MIN_DOCUMENTS = 2
 CONSTANT = 60  # per cent of a template's places
 #: Sets of lines are broadcast up to so many rows, and joined by shuffling beyond.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text of a block: lines, tokens and what is kept of them are held beside it.
+BLOCK = 2 << 20
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 
@@ -91,7 +93,7 @@ def parsed_lines(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             found = Lines(block.column("text"), hasher)
             kept = found.parsed()
             ids = block.column("id").to_numpy()[found.row[kept]]
@@ -105,7 +107,7 @@ def line_tokens(wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             found = Lines(block.column("text"), hasher)
             asked, counts = block.column("lines"), block.column("counts")
             picks, weights = [], []
@@ -178,7 +180,7 @@ def clean(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
 
     def run(batches):
         hasher = WordHasher()
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             texts, drop = block.column("text"), block.column("lines")
             found = Lines(texts, hasher)
             given, n_lines, n_dropped = texts.is_valid().to_pylist(), np.diff(found.first), np.zeros(block.num_rows, np.int64)

@@ -38,8 +38,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``size`` bytes of text, or one longer row."""
+#: What a reused worker keeps from task to task, by operator: a function that empties it.
+FORGET: dict[str, Callable[[], None]] = {}
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``size`` bytes of text, or one longer row.
+
+    What a worker still keeps for other operators than ``owner`` is given up first.
+    """
+    for name, forget in FORGET.items():
+        if name != owner:
+            forget()
     for batch in batches:
         data = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.binary_length(data).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
