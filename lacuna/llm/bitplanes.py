@@ -15,12 +15,14 @@ document; a document longer than a file makes one longer file of many blocks.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,13 +129,37 @@ class WordBpe:
         from lacuna.llm.byte_bpe import byte_table
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # no part holds their strings: texts are cut there
+        special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
+        self.special, self.borders = special, re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         shown = {byte: char for byte, char in enumerate(byte_table()) if chr(byte) != char}
         self.coder = PartCoder(self.tokenizer, ONE_PIECE, lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(shown))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, one after another, and the ``n + 1`` row offsets."""
+        """Ids of all rows, one after another, and the ``n + 1`` row offsets.
+
+        The string of a special token in a text is that token, as the library has it; what lies
+        between such strings is encoded by itself.
+        """
+        holds = np.zeros(len(texts), dtype=bool)
+        for string in self.special:
+            holds |= pc.match_substring(texts, string).fill_null(False).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._ordinary(texts)
+        pieces, counts = [], []  # by turns text and special string; a row begins and ends with text
+        for text, cut in zip(texts.to_pylist(), holds):
+            own = self.borders.split(text) if cut else [text]
+            pieces += own
+            counts.append(len(own))
+        flat, offsets = self._ordinary(pa.array([None if p in self.special else p for p in pieces], pa.large_string()))
+        where = [k for k, p in enumerate(pieces) if p in self.special]
+        ids = np.insert(flat, offsets[where], [self.special[pieces[k]] for k in where])
+        lengths = np.diff(offsets)
+        lengths[where] = 1
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = raw(texts)
         solid = ~SPACE[data]
         start = np.zeros(len(data) + 1, dtype=bool)

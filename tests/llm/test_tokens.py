@@ -10,6 +10,7 @@ import pytest
 from helpers import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lacuna.llm import bitplanes, byte_bpe, storage
 
@@ -44,9 +45,18 @@ def test_byte_bpe_is_the_libraries(texts, reference):
 @settings(max_examples=150, deadline=None)
 @given(texts=TEXTS)
 def test_word_bpe_is_the_libraries(texts):
-    model = bitplanes.word_model(WORDS)
-    whole = [x.ids for x in model.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert rows_of(model.encode(pa.array(texts))) == whole
+    fresh = Tokenizer.from_file(WORDS)
+    assert rows_of(bitplanes.word_model(WORDS).encode(pa.array(texts))) == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+SPECIAL = st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "é", "It's", "\u0301"]), st.text(max_size=4)), max_size=8).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), SPECIAL), max_size=5))
+def test_special_strings_are_the_librarys(texts):
+    fresh = Tokenizer.from_file(WORDS)
+    assert rows_of(bitplanes.word_model(WORDS).encode(pa.array(texts, pa.string()))) == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_offsets_cover_the_text(spark, nasty):
