@@ -79,3 +79,16 @@ def test_bootstrap_weights_reach_their_mean(spark):
         F.lit(0.1).alias("alpha"), F.lit("m").alias("method"), F.lit(2).alias("status"), (F.col("id") % 7).cast("double").alias("truth"), F.lit(0.0).alias("imputed"))
     found = fidelity.bootstrap(cells, "recordid", resamples=20, fraction=12.0).agg(F.avg("value")).first()[0]
     assert abs(found - (sum(k * k for k in range(7)) / 7) ** 0.5) < 0.02
+
+
+def test_only_open_cells_are_combined(spark):
+    from lacuna.operators import impute
+
+    schema = "rid string, feature string, kind string, masked double, imputed double"
+    first = [("r", "c", "nominal", None, 2.0), ("r", "d", "binary", 1.0, 1.0), ("r", "e", "continuous", None, 1.0), ("s", "e", "continuous", 0.1, 0.1)]
+    second = [("r", "c", "nominal", None, 1.0), ("r", "d", "binary", 1.0, 1.0), ("r", "e", "continuous", None, 4.0), ("s", "e", "continuous", 0.1, 0.1)]
+    frames = [spark.createDataFrame(rows, schema) for rows in (first, second)]
+    out = impute.ensemble(lambda seed: frames[seed], 2, ["rid", "feature"])
+    assert {(r["rid"], r["feature"]): r["imputed"] for r in out.collect()} == {("r", "c"): 1.0, ("r", "d"): 1.0, ("r", "e"): 2.5, ("s", "e"): 0.1}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnull(masked") == 2 and plan.count("isnotnull(masked") == 1  # observed cells do not go through the aggregate
