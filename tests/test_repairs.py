@@ -92,3 +92,10 @@ def test_only_open_cells_are_combined(spark):
     assert {(r["rid"], r["feature"]): r["imputed"] for r in out.collect()} == {("r", "c"): 1.0, ("r", "d"): 1.0, ("r", "e"): 2.5, ("s", "e"): 0.1}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("isnull(masked") == 2 and plan.count("isnotnull(masked") == 1  # observed cells do not go through the aggregate
+
+
+def test_driver_scores_are_the_same_in_every_job(spark):
+    rows = [(c, k * 0.1) for c in ("A", "B") for k in range(50)]
+    scored = mask.driver_scores(spark.createDataFrame(rows, "cohort string, a double"), ["a"], 2)
+    assert "Aggregate" not in scored._jdf.queryExecution().optimizedPlan().toString()  # sums of doubles depend on their order
+    assert scored.agg({"z_a": "stddev_pop"}).first()[0] == pytest.approx(1.0)
