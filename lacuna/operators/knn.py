@@ -1,13 +1,14 @@
 """Exact nearest-neighbour imputation without comparing every pair.
 
 Distance is the nan-Euclidean one: ``sqrt(p/|J| * sum_J (x_j - y_j)^2)`` over the
-features J both rows have. Since ``p/|J| >= 1``, the difference of any unit-length
-projection of the always-observed features bounds it from below. Rows are put into
-bounded blocks along that projection; a receiver first meets its own block, which
-bounds its k-th distance, and then only the blocks that can still hold something
-nearer. Each task compares one bounded block of donors with one bounded block of
-receivers and returns at most k donors per missing cell, so hot blocks (ties in the
-projection, popular neighbourhoods) split by size and no pair is ever emitted.
+features J both rows have. Since ``p/|J| >= 1``, the distance within the
+always-observed features bounds it from below. Rows are put into cells of those
+features, cut by a k-d tree over a bounded sample; every row has a cell, and a cell's
+box is that of its rows, so the sample decides on speed alone. A receiver first meets
+its own block (a cell, or a part of a popular one), which bounds its k-th distance, and
+then only the blocks of cells whose box can still hold something nearer. Each task compares one bounded block of donors with one bounded block of
+receivers and returns at most k donors per missing cell, so hot blocks (equal
+rows, popular neighbourhoods) split by size and no pair is ever emitted.
 """
 
 from __future__ import annotations
@@ -22,41 +23,78 @@ from pyspark.sql import functions as F
 from lacuna.functions.columns import hash_number
 from lacuna.functions.frames import bounded, cut_lineage, pinned
 
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 8000
+CELL_ROWS = 1000
+SAMPLE_ROWS = 100_000
+MOST_PAIRS = 4_000_000  # compared at a time in a task
 NEIGHBOURS = 3
 
 
 def complete_features(frame: DataFrame, unit: Sequence[str], features: Sequence[str]) -> list[str]:
     """Features without a gap in any unit: they may carry the projection."""
-    gaps = frame.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    gaps = frame.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features]).first()
     return [c for c in features if gaps[c] == 0]
 
 
-def _projection(complete: Sequence[str]) -> Column:
+def _cell_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, ...]:
+    """k-d tree over sampled points: ``feature, cut, left`` by node; the children are ``left`` and the next node, a leaf has -1."""
+    feature, cut, left, waiting = [-1], [0.0], [0], [(0, points)]
+    while waiting:
+        node, own = waiting.pop()
+        if len(own) <= leaf or not own.shape[1]:
+            continue
+        spread = own.max(axis=0) - own.min(axis=0)
+        f = int(spread.argmax())
+        if not spread[f] > 0:
+            continue
+        values, counts = np.unique(own[:, f], return_counts=True)
+        at = int(np.abs(np.cumsum(counts)[:-1] - len(own) / 2).argmin())
+        feature[node], cut[node], left[node] = f, float(values[at]), len(left)
+        below = own[:, f] <= values[at]
+        waiting += [(len(left), own[below]), (len(left) + 1, own[~below])]
+        feature, cut, left = feature + [-1, -1], cut + [0.0, 0.0], left + [0, 0]
+    return np.array(feature), np.array(cut), np.array(left)
+
+
+def _in_cells(rows: DataFrame, unit: Sequence[str], id_column: str, complete: Sequence[str], cell_rows: int, max_units: int) -> DataFrame:
+    """Add ``bucket``: the row's cell in its unit."""
     if not complete:
-        return F.lit(0.0)
-    total = sum((F.col(c) for c in complete), F.lit(0.0))
-    return total / F.lit(float(np.sqrt(len(complete))))
-
-
-def _blocks(rows: DataFrame, unit: Sequence[str], id_column: str, block_rows: int, max_units: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with (``bucket``, ``sub``), and the bucket grid (origin, width, splits)."""
-    span = rows.groupBy(*unit).agg(
-        F.min("_s").alias("_low"), F.max("_s").alias("_high"), F.count(F.lit(1)).alias("_n")
-    )
-    buckets = F.least(F.greatest(F.ceil(F.col("_n") / block_rows) * 4, F.lit(1)), F.lit(65536))
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / buckets).otherwise(1.0)
-    grid = pinned(span.select(*unit, "_low", width.alias("_width"), buckets.cast("int").alias("_buckets")), max_units)
-    placed = rows.join(bounded(grid, max_units), list(unit)).withColumn("bucket", _bucket_of(F.col("_s")))
-    sizes = placed.groupBy(*unit, "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_splits"))
-    sub = (hash_number(F.col(id_column), "block") % F.col("_splits")).cast("int")
-    out = placed.drop("_low", "_width", "_buckets").join(sizes, [*unit, "bucket"]).withColumn("sub", sub)
-    return out, grid
-
-
-def _bucket_of(s: Column) -> Column:
-    place = F.floor((s - F.col("_low")) / F.col("_width"))
-    return F.greatest(F.lit(0), F.least(place, F.col("_buckets") - 1)).cast("int")
+        return rows.withColumn("bucket", F.lit(0))
+    sizes = pinned(rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n")), max_units)
+    known = {tuple(r[u] for u in unit): r["_n"] for r in sizes.collect()}
+    step = F.greatest(F.ceil(F.col("_n") * len(known) / SAMPLE_ROWS), F.lit(1))
+    taken = rows.join(bounded(sizes, max_units), list(unit)).filter(hash_number(F.col(id_column), "cells") % step == 0)
+    sampled: dict[tuple, list] = {}
+    for r in pinned(taken.select(*unit, *complete), 2 * SAMPLE_ROWS).collect():
+        sampled.setdefault(tuple(r[u] for u in unit), []).append([r[c] for c in complete])
+    trees = {k: _cell_tree(np.array(v, dtype=float), max(4, len(v) * cell_rows // known[k])) for k, v in sampled.items()}
+
+    def cell_of(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+        feature, cut, left = tree
+        node, own = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while True:
+            inner = feature[node] >= 0
+            if not inner.any():
+                return node
+            right = x[own, np.maximum(feature[node], 0)] > cut[node]
+            node = np.where(inner, left[node] + right, node)
+
+    @F.pandas_udf("int")
+    def cell(which: pd.DataFrame, at: pd.DataFrame) -> pd.Series:
+        out, x = pd.Series(0, index=which.index), at.to_numpy(dtype=float)
+        for key, part in out.groupby([which[c] for c in which.columns], sort=False):
+            key = key if isinstance(key, tuple) else (key,)
+            if key in trees:
+                out.loc[part.index] = cell_of(trees[key], x[part.index])
+        return out
+
+    return rows.withColumn("bucket", cell(F.struct(*unit), F.struct(*complete)))
+
+
+def _gap(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    """Squared distance of two intervals."""
+    gap = F.greatest(F.lit(0.0), other_low - high, low - other_high)
+    return gap * gap
 
 
 def _nearest_in_block(features: Sequence[str], unit: Sequence[str], id_column: str, k: int):
@@ -69,8 +107,14 @@ def _nearest_in_block(features: Sequence[str], unit: Sequence[str], id_column: s
         if receivers.empty or donors.empty:
             return nothing
         donors = donors.sort_values(id_column, kind="stable")
-        x = np.vstack(receivers["vec"].to_numpy()).astype(float)
         y = np.vstack(donors["vec"].to_numpy()).astype(float)
+        step = max(1, MOST_PAIRS // len(y))
+        parts = [compare(receivers.iloc[k:k + step], donors, y) for k in range(0, len(receivers), step)]
+        parts = [p for p in parts if len(p)]
+        return pd.concat(parts, ignore_index=True)[columns] if parts else nothing
+
+    def compare(receivers: pd.DataFrame, donors: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        x = np.vstack(receivers["vec"].to_numpy()).astype(float)
         total = np.zeros((len(x), len(y)))
         shared = np.zeros((len(x), len(y)))
         for j in range(p):
@@ -101,12 +145,12 @@ def _nearest_in_block(features: Sequence[str], unit: Sequence[str], id_column: s
             found["feature"] = name
             parts.append(found)
         if not parts:
-            return nothing
+            return pd.DataFrame()
         out = pd.concat(parts, ignore_index=True)
         out[id_column] = rid[out["r"].to_numpy()]
         for u in unit:
             out[u] = receivers[u].iloc[0]
-        return out[columns]
+        return out
 
     return run
 
@@ -132,9 +176,15 @@ def nearest_donors(
     """
     complete = complete_features(frame, unit, features)
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    rows = frame.select(*unit, id_column, vec.alias("vec"), _projection(complete).alias("_s"))
-    blocked, grid = _blocks(rows, unit, id_column, block_rows, max_units)
-    blocked = cut_lineage(blocked.withColumn("_open", F.exists("vec", lambda v: v.isNull())))
+    at = [f"_at{j}" for j in range(len(complete))]
+    rows = frame.select(*unit, id_column, vec.alias("vec"), *[F.col(c).cast("double").alias(a) for a, c in zip(at, complete)])
+    placed = _in_cells(rows, unit, id_column, at, min(CELL_ROWS, block_rows), max_units)
+    placed = cut_lineage(placed.withColumn("_open", F.exists("vec", lambda v: v.isNull())))
+    boxes = cut_lineage(placed.groupBy(*unit, "bucket").agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_splits"),
+        *[x for a in at for x in (F.min(a).alias(f"_low{a}"), F.max(a).alias(f"_high{a}"))]))
+    sub = (hash_number(F.col(id_column), "block") % F.col("_splits")).cast("int")
+    blocked = cut_lineage(placed.join(boxes.select(*unit, "bucket", "_splits"), [*unit, "bucket"]).withColumn("sub", sub))
     block = [*unit, "bucket", "sub"]
     types = dict(frame.dtypes)
     head = ", ".join(f"`{c}` {types[c]}" for c in [*unit, id_column])
@@ -159,17 +209,15 @@ def nearest_donors(
     searching = (
         receivers.join(reached, [*unit, id_column], "left")
         .withColumn("_reach", F.when(F.col("_cells") == gaps, F.col("_reach")).otherwise(float("inf")))
-        .join(bounded(grid, max_units), list(unit))
-    )
-    unlimited = F.col("_reach") == float("inf")
-    low = F.when(unlimited, 0).otherwise(_bucket_of(F.col("_s") - F.col("_reach") - 1e-6))
-    high = F.when(unlimited, F.col("_buckets") - 1).otherwise(_bucket_of(F.col("_s") + F.col("_reach") + 1e-6))
-    visits = searching.select(
-        *unit, id_column, "vec", F.col("bucket").alias("_ob"), F.col("sub").alias("_os"),
-        F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("bucket"),
     )
-    splits = blocked.select(*unit, "bucket", "_splits").distinct()
-    visits = visits.join(splits, [*unit, "bucket"]).withColumn(
+    searching = searching.withColumnRenamed("bucket", "_ob").withColumnRenamed("sub", "_os").drop("_splits")
+    farthest = searching.groupBy(*unit, "_ob").agg(F.max("_reach").alias("_farthest"))
+    own_boxes = boxes.select(*unit, F.col("bucket").alias("_ob"), *[F.col(f"_{e}{a}").alias(f"_own_{e}{a}") for a in at for e in ("low", "high")])
+    apart = sum((_gap(F.col(f"_own_low{a}"), F.col(f"_own_high{a}"), F.col(f"_low{a}"), F.col(f"_high{a}")) for a in at), F.lit(0.0))
+    pairs = farthest.join(own_boxes, [*unit, "_ob"]).join(boxes, list(unit)).filter(F.sqrt(apart) <= F.col("_farthest") + 1e-6)
+    pairs = pairs.select(*unit, "_ob", "bucket", "_splits", *[f"_{e}{a}" for a in at for e in ("low", "high")])
+    away = sum((_gap(F.col(a), F.col(a), F.col(f"_low{a}"), F.col(f"_high{a}")) for a in at), F.lit(0.0))
+    visits = searching.join(pairs, [*unit, "_ob"]).filter(F.sqrt(away) <= F.col("_reach") + 1e-6).withColumn(
         "sub", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))
     ).filter("not (bucket = _ob and sub = _os)")
     # A popular block is visited in turns of bounded size; its donors are copied per turn.

@@ -255,3 +255,9 @@ def test_a_study_runs_and_resumes(spark, sf, tmp_path):
     assert {tuple(r) for r in both.filter("method = 'mean'").collect()} == mean
     rmse = both.filter("metric = 'rmse' and feature = 'cont_price' and method = 'mean'").agg(F.avg("value")).first()[0]
     assert 0.8 < rmse < 1.2
+
+
+def test_cells_follow_every_complete_column():
+    points = np.array([(a, b) for a in range(7) for b in range(5)] * 20, dtype=float)
+    feature, cut, left = knn._cell_tree(points, 20)
+    assert (feature < 0).sum() == 35  # points with one sum, (1, 2) and (2, 1), lie in different cells
