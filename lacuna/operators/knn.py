@@ -65,7 +65,7 @@ def _in_cells(rows: DataFrame, unit: Sequence[str], id_column: str, complete: Se
     step = F.greatest(F.ceil(F.col("_n") * len(known) / SAMPLE_ROWS), F.lit(1))
     taken = rows.join(bounded(sizes, max_units), list(unit)).filter(hash_number(F.col(id_column), "cells") % step == 0)
     sampled: dict[tuple, list] = {}
-    for r in pinned(taken.select(*unit, *complete), 2 * SAMPLE_ROWS).collect():
+    for r in taken.select(*unit, *complete).limit(2 * SAMPLE_ROWS).collect():
         sampled.setdefault(tuple(r[u] for u in unit), []).append([r[c] for c in complete])
     trees = {k: _cell_tree(np.array(v, dtype=float), max(4, len(v) * cell_rows // known[k])) for k, v in sampled.items()}
 
