@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.functions.tails import chi2_sf, signed_rank_p
 from lacuna.operators import stats
@@ -105,3 +106,25 @@ def test_pairs_are_only_opened_for_rejecting_families(spark):
     assert {r["family"] for r in pairs.collect()} == {f for f, hit in rejected.items() if hit}
     with pytest.raises(AssertionError):
         stats.compare_arms(scores, ["family"], ["block"], ["a", "b", "c"], stats.LOWER, expected_blocks=8)
+
+
+def test_hash_reaches_is_the_comparison_of_uniforms(spark):
+    from lacuna.functions.columns import hash_digits, hash_reaches, hash_uniform, hash_uniform_value
+
+    bounds = [-1.0, 0.0, 0.25, math.exp(-0.25), 1.0 - 1e-14, 1.0, 2.0, *[hash_uniform_value(3, k) for k in range(5)]]
+    rows = spark.range(200).select("id", *[
+        (hash_reaches(hash_digits(3, F.col("id")), b) == (hash_uniform(3, F.col("id")) >= F.lit(b))).alias(f"b{i}") for i, b in enumerate(bounds)])
+    assert all(all(r[1:]) for r in rows.collect())
+
+
+def test_bootstrap_hashes_a_drawn_cell_once(spark):
+    from lacuna.operators import fidelity as fid
+
+    cells = spark.createDataFrame([("A", "d", 0.2, "m", "7", "x", "continuous", 2, 1.0, 3.0)],
+                                  "cohort string, design string, alpha double, method string, recordid string, feature string, kind string, status int, truth double, imputed double")
+    samples = fid.bootstrap(cells, "recordid", resamples=400)
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2  # once to choose, once to count the copies of what was chosen
+    found = {r["resample"]: r["value"] for r in samples.collect()}
+    from lacuna.functions.columns import hash_uniform_value
+    assert set(found) == {b for b in range(1, 401) if hash_uniform_value(20260507, b, 7) >= math.exp(-0.25)} and set(found.values()) == {2.0}
