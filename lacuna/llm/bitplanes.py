@@ -129,11 +129,12 @@ class WordBpe:
         from lacuna.llm.byte_bpe import byte_table
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # no part holds their strings: texts are cut there
+        ordinary = Tokenizer.from_file(path)
+        ordinary.encode_special_tokens = True  # no part holds their strings: texts are cut there
         special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
         self.special, self.borders = special, re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         shown = {byte: char for byte, char in enumerate(byte_table()) if chr(byte) != char}
-        self.coder = PartCoder(self.tokenizer, ONE_PIECE, lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(shown))
+        self.coder = PartCoder(ordinary, ONE_PIECE, lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(shown))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
