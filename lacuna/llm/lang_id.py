@@ -56,35 +56,60 @@ class Pieces:
         self.ids = {text: k + 1 for k, text in enumerate(kept)}  # 0: a letter that no piece covers
         self.ids.setdefault(MARK, len(self.ids) + 1)
         self.size = len(self.ids) + 1
-        self.heads = {text[:n] for text in self.ids for n in range(1, len(text) + 1)}
+        # The trie of the pieces: a step from a node by a letter is a key of a sorted table, node 0 is its root.
+        letters = sorted({ord(c) for text in self.ids for c in text})
+        place = {c: k for k, c in enumerate(letters)}
+        self.letters, self.width = np.array(letters, dtype=np.uint32), len(letters)
+        nodes: dict[int, int] = {}
+        found = {0: -1}
+        for text, k in self.ids.items():
+            at = 0
+            for c in text:
+                at = nodes.setdefault(at * self.width + place[ord(c)], len(nodes) + 1)
+            found[at] = k
+        keys = np.fromiter(nodes, np.int64, len(nodes))
+        order = np.argsort(keys)
+        self.steps, self.targets = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.piece = np.array([found.get(node, -1) for node in range(len(nodes) + 1)], dtype=np.int32)
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes that steps lead to, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.steps, keys), len(self.steps) - 1)
+        return np.where(self.steps[at] == keys, self.targets[at], -1)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every piece that fits in a word: word, begin, end and piece, by end and word; and the words' lengths."""
-        word, begin, end, piece = [], [], [], []
-        get, heads = self.ids.get, self.heads
-        for w, text in enumerate(words):
-            n = len(text)
-            for i in range(n):
-                known = False
-                for j in range(i + 1, n + 1):
-                    part = text[i:j]
-                    if part not in heads:
-                        break
-                    k = get(part)
-                    if k is not None:
-                        word.append(w)
-                        begin.append(i)
-                        end.append(j)
-                        piece.append(k)
-                        known |= j == i + 1
-                if not known:
-                    word.append(w)
-                    begin.append(i)
-                    end.append(i + 1)
-                    piece.append(0)
-        out = [np.array(x, dtype=np.int32) for x in (word, begin, end, piece)]
-        order = np.lexsort((out[0], out[2]))
-        return *(x[order] for x in out), np.array([len(t) for t in words], dtype=np.int64)
+        """Every piece that fits in a word: word, begin, end and piece, by end, word and begin; and the words' lengths."""
+        lengths = np.array([len(t) for t in words], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        letter = np.minimum(np.searchsorted(self.letters, codes), self.width - 1)
+        letter = np.where(self.letters[letter] == codes, letter, -1)
+        of = np.repeat(np.arange(len(words)), lengths)
+        begin = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = np.repeat(lengths, lengths) - begin  # letters from here to the word's end
+        alone = np.ones(len(codes), dtype=bool)  # no piece of just this letter
+        starts, sizes, numbers = [], [], []
+        places, node, size = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), 0
+        while len(places):  # all pieces grow by a letter at a time
+            next_letter = letter[places + size]
+            node = np.where(next_letter >= 0, self._step(node * self.width + np.maximum(next_letter, 0)), -1)
+            places, node, size = places[node >= 0], node[node >= 0], size + 1
+            whole = self.piece[node] >= 0
+            starts.append(places[whole])
+            sizes.append(np.full(len(starts[-1]), size))
+            numbers.append(self.piece[node[whole]])
+            if size == 1:
+                alone[starts[0]] = False
+            longer = left[places] > size
+            places, node = places[longer], node[longer]
+        starts.append(np.flatnonzero(alone))
+        sizes.append(np.ones(len(starts[-1]), dtype=np.int64))
+        numbers.append(np.zeros(len(starts[-1]), dtype=np.int32))
+        start, piece = np.concatenate(starts), np.concatenate(numbers)
+        word, first = of[start], begin[start]
+        end = first + np.concatenate(sizes)
+        stretch = int(lengths.max(initial=0)) + 1
+        order = np.argsort((end * len(words) + word) * stretch + first)
+        return *(x[order].astype(np.int32) for x in (word, first, end, piece)), lengths
 
 
 @lru_cache(maxsize=1)

@@ -1,6 +1,7 @@
 """Language, quality, near-duplicates, lines, benchmark overlaps and shards against brute force."""
 
 import re
+import sys
 import zlib
 from itertools import combinations
 
@@ -50,6 +51,26 @@ def test_forward_sums_every_segmentation():
     np.testing.assert_allclose(lang_id.expected(vocabulary.arcs(names), shares, np.ones((len(names), 3))), counts, rtol=1e-8, atol=1e-12)
 
 
+def test_pieces_of_many_words_are_found_together():
+    vocabulary = lang_id.pieces(PIECES)
+    rng = np.random.default_rng(4)
+    names = ["▁" + "".join(rng.choice(list("abcdefghilmnorstuéßñ中Ω𝒳▁"), n)) for n in rng.integers(0, 63, 800)] + ["", "▁the"]
+    expected = []
+    for w, name in enumerate(names):
+        for i in range(len(name)):
+            expected += [(j, w, i, k) for j in range(i + 1, len(name) + 1) if (k := vocabulary.ids.get(name[i:j], 0 if j == i + 1 else None)) is not None]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        *found, lengths = vocabulary.arcs(names)
+    finally:
+        sys.setprofile(None)
+    word, begin, end, piece = (x.tolist() for x in found)
+    assert list(zip(end, word, begin, piece)) == sorted(expected) and lengths.tolist() == [len(x) for x in names]
+    assert len(calls) < lengths.sum() / 2  # no work of Python's for each letter
+    assert all(len(x) == 0 for x in vocabulary.arcs([]))
+
+
 def test_languages_are_told_and_learning_ignores_held_out(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
