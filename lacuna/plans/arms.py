@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.frames import cut_lineage, pinned, to_cells, union_all
+from lacuna.functions.frames import bounded, cut_lineage, handed_over, pinned, to_cells, union_all
 from lacuna.operators import chained, impute, knn
 from lacuna.plans.schema import Study
 
@@ -45,10 +45,19 @@ def _mean(wide, unit, study, seed, params) -> DataFrame:
 
 
 def _knn(wide, unit, study, seed, params) -> DataFrame:
-    found = knn.impute_knn(wide, unit, study.id_column, study.codebook.names, max_units=MAX_UNITS, **params)
-    cells = _cells(wide, unit, study)
-    joined = cells.join(found.withColumnRenamed("imputed", "_near"), [*unit, study.id_column, "feature"], "left")
-    return joined.withColumn("imputed", F.coalesce("masked", "_near")).drop("_near")
+    """Rows are joined, not cells; the filled rows are written once and become cells when they are read."""
+    names, keys = study.codebook.names, [*unit, study.id_column]
+    near = knn.near_means(wide, unit, study.id_column, names, max_units=MAX_UNITS, **params)
+    # A cell comes once for each open cell of its key.
+    times = wide.groupBy(*keys).agg(F.array(*[F.count_if(F.col(c).isNull()) for c in names]).alias("_times"))
+    means = bounded(knn.column_means(wide, unit, names), MAX_UNITS)
+    joined = wide.join(near, keys, "left").join(times, keys, "left").join(means, list(unit), "left")
+    filled = {c: F.coalesce(F.col(c), F.when(F.col("_times").isNotNull(), F.coalesce(F.get("_near", F.lit(j)), F.get("_means", F.lit(j))))) for j, c in enumerate(names)}
+    rows = handed_over(joined.select(*keys, *names, "_times", *[x.alias(f"_filled_{c}") for c, x in filled.items()]), "knn")
+    args = [x for j, (c, kind) in enumerate(study.codebook.kinds.items()) for x in (
+        F.lit(c), F.lit(kind), F.col(c).cast("double"), F.col(f"_filled_{c}").cast("double"), F.greatest(F.coalesce(F.get("_times", F.lit(j)), F.lit(1)), F.lit(1)))]
+    cells = rows.select(*keys, F.stack(F.lit(len(names)), *args).alias("feature", "kind", "masked", "imputed", "_n"))
+    return cells.select(*keys, "feature", "kind", "masked", "imputed", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
 
 
 def _per_unit(run) -> Arm:
@@ -90,7 +99,8 @@ def impute_arm(
         return arm(wide, unit, study, 0, params)
     members = k if k is not None and method not in impute.DETERMINISTIC else impute.ensemble_size(method)
     keys = [*unit, study.id_column, "feature", "kind", "masked"]
-    # Snapping and scoring read the filled cells several times; the arm runs once.
-    out = cut_lineage(impute.ensemble(lambda seed: arm(wide, unit, study, seed, params), members, keys))
+    out = impute.ensemble(lambda seed: arm(wide, unit, study, seed, params), members, keys)
+    if members > 1 or method not in impute.DETERMINISTIC:
+        out = cut_lineage(out)  # snapping and scoring read the filled cells several times; the arm runs once
     rows = MAX_UNITS * len(study.codebook.variables)
     return impute.snap_cells(out, study.codebook, rows=rows, unit=unit)
